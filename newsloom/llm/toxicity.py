@@ -44,7 +44,7 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     docs, hashes = [doc], [common.mix(h + _C)]
     for size in HEADS:
         docs.append(doc)
-        hashes.append(common.mix(common.word_hashes([w[:size] for w in words]) + np.uint64(size) * _A))
+        hashes.append(common.mix(common.word_hashes([w[:size] for w in words]) + np.array([size], np.uint64) * _A))
     for gap, factor in ((1, _A), (2, _B)):
         if len(h) > gap:
             same = doc[:-gap] == doc[gap:]
