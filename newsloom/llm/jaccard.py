@@ -114,7 +114,7 @@ def _key(block: np.ndarray, t: np.ndarray, low: np.ndarray, high: np.ndarray) ->
 def block_keys(hashes: np.ndarray, starts: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
     """(text number, key) of the sketch blocks that each text sends."""
     n = np.diff(starts)
-    band = np.searchsorted(_edges(), n, "right") - 1
+    band = np.maximum(np.searchsorted(_edges(), n, "right") - 1, 0)
     docs, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
     shapes = {t: rule.shape(t) for t in range(int(band.max(initial=0)) + 2)}
     for step in (0, 1):
