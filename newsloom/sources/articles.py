@@ -22,7 +22,7 @@ def without_unnamed(rows: DataFrame) -> DataFrame:
 
 def read_texts(spark: SparkSession, folder: str, separator: str = "\n____________________________________________________________\n") -> DataFrame:
     """(file, at, body): files below a folder, cut into records at a separator line."""
-    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").option("wholetext", True).text(folder)
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(folder, wholetext=True)
     parts = F.split("value", "\\Q" + separator + "\\E")
     return files.select(F.input_file_name().alias("file"), F.posexplode(parts).alias("at", "body")).where(F.trim("body") != "")
 
