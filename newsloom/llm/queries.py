@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, decontam, divergence, jaccard, packing, repeats, sanitise, snapshots, token_orc, toxicity, warc
+from . import common, decontam, divergence, jaccard, oracles, packing, repeats, sanitise, snapshots, token_orc, toxicity, warc
 
 WORD_BPE = "word_bpe_49k.json"
 BYTE_BPE = "byte_bpe_50k.json"
@@ -61,4 +61,4 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_token_orc, op2_divergence, op3_seed_extend, op4_parity_sketch, op5_warc_archive, op6_best_fit_packing, op7_snapshot_collapse, op8_toxicity, op9_sanitise, op10_decontaminate)}
 
-SQL = {"op7_snapshot_collapse": snapshots.render_sql()}
+SQL = oracles.SQL
