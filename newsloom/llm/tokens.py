@@ -14,6 +14,8 @@ import numpy as np
 
 #: Chunks that a worker remembers in each of two generations (about 150 bytes each).
 CHUNK_CACHE = 450_000
+#: New chunks that are encoded in a row.
+ROW = 60
 #: Longer chunks are not remembered.
 CHUNK_BYTES = 48
 #: After letters these always begin a token of their own.
@@ -39,6 +41,10 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.spaced = self.tokenizer.normalizer is None
+        model = self.tokenizer.model
+        if hasattr(model, "_resize_cache"):  # chunks come here once; the library's own memory is of no use
+            model._resize_cache(0)
+            self.tokenizer.model = model
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.border = np.zeros(max(vocabulary.values()) + 1, bool)
         for token, i in vocabulary.items():
@@ -48,7 +54,8 @@ class Encoder:
 
     def _chunks(self, text: bytes) -> list[str] | list[bytes]:
         if not self.spaced:
-            return text.split()  # ASCII white space: never part of a token, never joined by the normaliser
+            # The normaliser lowers case anyway; ASCII white space is never part of a token.
+            return text.lower().split()
         if not text:
             return []
         string = text.decode("utf-8", "replace")
@@ -57,7 +64,7 @@ class Encoder:
         head, *rest = string.split(" ")
         return ([head] if head else []) + [" " + x for x in rest]
 
-    def _fresh(self, chunks: list) -> dict:
+    def _fresh(self, chunks: set) -> dict:
         out, alone, row, tailed = {}, [], [], []
         if self.spaced:
             for x in chunks:
@@ -75,18 +82,18 @@ class Encoder:
                     parts.add(base)
             row = list(parts)
             alone += {tail for _, _, tail in tailed} - set(alone)
-        for at in range(0, len(row), 1000):
-            part = row[at : at + 1000]
-            text = "".join(part) if self.spaced else b" ".join(part).decode("utf-8", "replace")
-            ids = np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-            marks = np.flatnonzero(self.border[ids])
-            if len(marks) != len(part):
-                alone += part
-                continue
-            cuts = [*marks.tolist(), len(ids)] if self.spaced else [0, *(marks + 1).tolist()]
-            raw = ids.tobytes()
-            for x, a, b in zip(part, cuts, cuts[1:], strict=False):
-                out[x] = raw[4 * a : 4 * b]
+        parts = [row[at : at + ROW] for at in range(0, len(row), ROW)]
+        for at in range(0, len(parts), 500):
+            group = parts[at : at + 500]
+            texts = ["".join(x) if self.spaced else b" ".join(x).decode("utf-8", "replace") for x in group]
+            found = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            ids = np.asarray([i for x in found for i in x], "<u4")
+            marks, raw = np.flatnonzero(self.border[ids]), ids.tobytes()
+            if len(marks) == sum(map(len, group)) and (not self.spaced or not len(marks) or marks[0] == 0):
+                cuts = [*(4 * marks).tolist(), len(raw)] if self.spaced else [0, *(4 * marks + 4).tolist()]
+                out.update((x, raw[i:j]) for x, i, j in zip([x for part in group for x in part], cuts, cuts[1:], strict=False))
+            else:
+                alone += [x for part in group for x in part]
         for at in range(0, len(alone), 5000):
             part = alone[at : at + 5000]
             strings = part if self.spaced else [x.decode("utf-8", "replace") for x in part]
@@ -100,13 +107,13 @@ class Encoder:
             self.known, self.older = {}, self.known
         known, older = self.known, self.older
         chunked = [self._chunks(x) for x in texts]
-        missing = {x for chunks in chunked for x in chunks if x not in known}
+        missing = set().union(*chunked).difference(known)
         known.update((x, older[x]) for x in missing if x in older)
         extra: dict = {}
-        for x, ids in self._fresh([x for x in missing if x not in older]).items():
+        for x, ids in self._fresh(missing.difference(older)).items():
             (known if len(x) <= CHUNK_BYTES else extra)[x] = ids
         if not extra:
-            return [b"".join([known[x] for x in chunks]) for chunks in chunked]
+            return [b"".join(map(known.__getitem__, chunks)) for chunks in chunked]
         return [b"".join([extra[x] if x in extra else known[x] for x in chunks]) for chunks in chunked]
 
 
