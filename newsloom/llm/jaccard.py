@@ -10,11 +10,16 @@ of them leaves them out, one with more sends all. If one of two linked documents
 most E of the blocks they agree in are light, so one is left; if neither does, none is missing. A document
 takes part in its own band and, if it can link with a member of it, in the next one.
 
-Join: one exchange by block. Equal sets become one class first. In each bucket the smallest member is
-compared with the others; links found so join components. Buckets that still hold several components
-then give their remaining pairs across components, thinned by size and by the Hamming distance of
-512-bit sketches, and these are verified too. So no link between different texts is lost, though pairs
-inside one component are never spelled out. Verification counts shared n-grams exactly.
+Join: one exchange by block. Equal sets become one class first. In each bucket the most central member (that
+with most company in all its buckets) is compared with every other one. What is linked with it joins its
+component. Let x be a member that is not, and y any other: if x and y link, they share a member of
+their differences from the centre. (Otherwise they would differ in |dx| + |dy| members, where |dx| is over
+(n_x + n_c) d and |dy| is at least |n_y - n_c|, so in more than (n_x + n_y) d, d = (1 - J) / (1 + J).) So the other
+pairs of a bucket are found by an equality join on (centre, difference): of each member only its rarest D + 1
+differences, as linked members leave at most D of them unshared. They are thinned by size, by component and by
+the Hamming distance of 512-bit sketches, and verified too. No link between different texts is
+lost, and neither the copies in a group nor its stragglers are paired with each other. Verification
+counts shared n-grams exactly.
 
 n-grams: lower-cased (A-Z) words between ASCII white space; a text of fewer words is one n-gram; without words
 or text the set is empty and linked with nothing. A document is one doc_id; of repeated ids the smallest text
@@ -201,34 +206,40 @@ def _close(n: Column, m: Column, rule: Rule) -> Column:
     return F.lit(rule.den) * F.least(n, m) >= F.lit(rule.num) * F.greatest(n, m)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs (a, b) that link. Each centre a is sent once to each task that compares it with some of its b."""
+def _compared(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
+    """(a, b, n, linked, apart) of each pair; ``n``: the size of b's set; ``apart``: the n-grams that only one of them has.
+
+    Each centre a is sent once to each task that compares it with some of its b.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, centre, size = None, None, 0
+        group, centre = None, None
         for batch in batches:
             keys = list(zip(batch.column("a").to_pylist(), batch.column("part").to_pylist(), strict=True))
             ids = batch.column("b").to_pylist()
-            out: list[tuple[int, int]] = []
+            out: list[tuple[int, int, bool, np.ndarray, int]] = []
             for start, part in common.slices(batch):
                 hashes, starts = ngrams(part, rule.words)
                 for i in range(len(part)):
                     own = hashes[starts[i] : starts[i + 1]]
                     if keys[start + i] != group:  # a group's first row is its centre
-                        group, centre, size = keys[start + i], own, len(own)
+                        group, centre = keys[start + i], own
                         continue
-                    at = np.searchsorted(centre, own)
-                    shared = int((centre[np.minimum(at, size - 1)] == own).sum()) if size else 0
-                    if rule.den * shared >= rule.num * (size + len(own) - shared):
-                        out.append((group[0], ids[start + i]))
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["a", "b"])
+                    apart = np.setxor1d(centre, own, assume_unique=True)
+                    total = len(centre) + len(own)
+                    linked = len(apart) * (rule.den + rule.num) <= total * (rule.den - rule.num)
+                    out.append((group[0], ids[start + i], linked, apart.view(np.int64), len(own)))
+            values = np.concatenate([np.zeros(0, np.int64), *(x[3] for x in out)])
+            offsets = np.cumsum([0, *(len(x[3]) for x in out)]).astype(np.int32)
+            columns = [pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[4] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.bool_()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))]
+            yield pa.RecordBatch.from_arrays(columns, ["a", "b", "n", "linked", "apart"])
 
     sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(float(STAR_MEMBERS))).cast("int").alias("parts"))
     members = pairs.join(sizes, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "b")
     centres = sizes.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("a").alias("b"))
     rows = members.withColumn("member", F.lit(1)).unionByName(centres.withColumn("member", F.lit(0)))
-    rows = rows.join(texts.select(F.col("doc_id").alias("b"), "text"), "b")
-    return rows.repartition("a", "part").sortWithinPartitions("a", "part", "member", "b").select("a", "part", "b", "text").mapInArrow(run, "a long, b long")
+    rows = rows.join(texts.select(F.col("doc_id").alias("b"), "text").hint("merge"), "b")
+    return rows.repartition("a", "part").sortWithinPartitions("a", "part", "member", "b").select("a", "part", "b", "text").mapInArrow(run, "a long, b long, n int, linked boolean, apart array<long>")
 
 
 def _labelled(reps: DataFrame, links: DataFrame, name: str) -> DataFrame:
@@ -247,33 +258,42 @@ def clusters(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     met = common.cut(met.where((F.col("kind") != BLOCK) | (F.col("first") != F.col("doc_id")) | F.col("next").isNotNull()).select("key", "kind", "doc_id", "n", "first"), "buckets")
     classes = met.where(F.col("kind") != BLOCK).select("doc_id", F.col("n").alias("n_shingles"), F.col("first").alias("rep"))
 
-    # Buckets of class representatives.
+    # Buckets of class representatives, each with its most central member.
     copies = classes.where("rep != doc_id").select("doc_id", "rep")
-    held = met.where(F.col("kind") == BLOCK).join(copies, "doc_id", "left").select("key", F.coalesce("rep", "doc_id").alias("rep"), "n").distinct()
-    bucket = Window.partitionBy("key").orderBy("rep")
-    upto = bucket.rowsBetween(Window.unboundedPreceding, 0)
-    held = held.withColumns({"centre": F.first(F.struct("rep", "n")).over(upto), "next": F.lead("rep").over(bucket)})
-    held = common.cut(held.where((F.col("centre.rep") != F.col("rep")) | F.col("next").isNotNull()).select("key", "rep", "n", "centre"), "members")
-    texts = one.join(held.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    texts = common.cut(_sketches(texts, rule), "candidates")
-
-    stars = held.where((F.col("centre.rep") != F.col("rep")) & _close(F.col("centre.n"), F.col("n"), rule)).select(F.col("centre.rep").alias("a"), F.col("rep").alias("b")).distinct()
+    held = met.where(F.col("kind") == BLOCK).join(copies, "doc_id", "left").select("key", F.coalesce("rep", "doc_id").alias("rep")).distinct()
+    company = held.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    held = common.cut(held.join(company, "key"), "members")
+    central = held.groupBy("rep").agg(F.sum("size").alias("company"))
+    held = held.select("key", "rep").join(central, "rep")
+    centre = held.groupBy("key").agg(F.max_by("rep", F.struct("company", F.bitwise_not("rep"))).alias("a"))
+    stars = held.join(centre, "key").where("a != rep").select("a", F.col("rep").alias("b")).distinct()
     stars = common.cut(stars, "stars")
-    links = common.cut(_verified(stars, texts, rule), "links")
-
-    # Buckets that still hold several components.
-    labelled = common.cut(_labelled(held.select("key", "rep", "n"), links, "part"), "labelled")
-    mixed = labelled.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key")
-    rest = labelled.join(mixed, "key", "left_semi")
-    x, y = rest.alias("x"), rest.alias("y")
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.part") != F.col("y.part")) & _close(F.col("x.n"), F.col("y.n"), rule))
-    pairs = pairs.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).distinct().join(stars, ["a", "b"], "left_anti")
+    known = stars.select(F.col("b").alias("doc_id")).unionByName(stars.select(F.col("a").alias("doc_id"))).distinct()
+    texts = common.cut(_sketches(one.join(known.hint("merge"), "doc_id", "left_semi"), rule), "candidates")
+    compared = common.cut(_compared(stars, texts, rule), "compared")
+    links = compared.where("linked").select("a", "b")
+
+    # What is not linked with its centre meets other members where both differ from the centre alike.
+    open_stars = compared.groupBy("a").agg(F.count("*").alias("members"), F.bool_and("linked").alias("all")).where("members > 1 and not all").select("a")
+    differing = compared.join(open_stars, "a", "left_semi").select("a", "b", "n", "linked", F.explode("apart").alias("gram"))
+    often = differing.groupBy("a", "gram").agg(F.count("*").alias("times")).where("times > 1")
+    rarest = Window.partitionBy("a", "b").orderBy("times", "gram")
+    most = F.floor(F.col("n") * (rule.den - rule.num) / F.lit(rule.num))
+    # A difference that no other member has takes a place but meets nobody.
+    differing = differing.join(often, ["a", "gram"], "left").withColumn("nth", F.row_number().over(rarest))
+    differing = differing.where((F.col("nth") <= most + 1) & F.col("times").isNotNull()).select("a", "b", "linked", "gram")
+    loose = differing.where("not linked").select("a", "gram", F.col("b").alias("x"))
+    pairs = differing.join(loose, ["a", "gram"]).where("b != x").select(F.least("b", "x").alias("a"), F.greatest("b", "x").alias("b")).distinct()
+    parts = graph.components(links)
     bits = [f"s{i}" for i in range(SKETCH_WORDS)]
-    side = lambda c: texts.select(F.col("doc_id").alias(c), F.struct(*bits).alias(f"sketch_{c}"))
+    about = texts.select("doc_id", F.struct(*bits).alias("sketch")).join(classes.select("doc_id", "n_shingles"), "doc_id").join(parts, F.col("doc_id") == F.col("node"), "left")
+    side = lambda c: about.select(F.col("doc_id").alias(c), F.struct("sketch", "n_shingles", F.coalesce("component", "doc_id").alias("part")).alias(f"of_{c}"))
     pairs = pairs.join(side("a"), "a").join(side("b"), "b")
-    apart = sum((F.bit_count(F.col(f"sketch_a.{s}").bitwiseXOR(F.col(f"sketch_b.{s}"))) for s in bits), F.lit(0))
-    pairs = common.cut(pairs.where(apart * (rule.den + rule.num) <= (F.col("na") + F.col("nb")) * (rule.den - rule.num)).select("a", "b"), "pairs")
-    more = common.cut(_verified(pairs, texts, rule), "links")
+    apart = sum((F.bit_count(F.col(f"of_a.sketch.{s}").bitwiseXOR(F.col(f"of_b.sketch.{s}"))) for s in bits), F.lit(0))
+    n, m = F.col("of_a.n_shingles"), F.col("of_b.n_shingles")
+    able = (F.col("of_a.part") != F.col("of_b.part")) & _close(n, m, rule) & (apart * (rule.den + rule.num) <= (n + m) * (rule.den - rule.num))
+    pairs = common.cut(pairs.where(able).select("a", "b"), "pairs")
+    more = common.cut(_compared(pairs, texts, rule).where("linked").select("a", "b"), "links")
 
     final = _labelled(classes, links.unionByName(more), "whole")
     back = lambda c: F.nullif(F.col(c), F.lit(common.NULL_ID))
