@@ -35,7 +35,7 @@ NEAR = 6
 SUPPORT = 4
 DISCLOSURE = 0.8
 #: Candidate terms, and disclosing pairs, are broadcast up to this number; beyond it they are joined.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 300_000
 
 _domain = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _local = re.compile(r"[A-Za-z0-9._%+-]+\Z")
@@ -137,11 +137,10 @@ def _pairs(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "entity long, term long, n long").groupBy("entity", "term").agg(F.sum("n").alias("n"))
 
 
-def _document_counts(docs: DataFrame, terms: DataFrame, rows: int, limit: int) -> DataFrame:
+def _document_counts(docs: DataFrame, terms: DataFrame, limit: int) -> DataFrame:
     """(term, df) for the given terms over all documents."""
-    held = None
-    if rows <= limit:
-        held = docs.sparkSession.sparkContext.broadcast({r.term for r in terms.collect()})
+    found = {r.term for r in terms.limit(limit + 1).collect()}
+    held = docs.sparkSession.sparkContext.broadcast(found) if len(found) <= limit else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = held.value if held else None
@@ -176,13 +175,11 @@ def disclosing(docs: DataFrame, support: int = SUPPORT, share: float = DISCLOSUR
     pairs = common.cut(_pairs(docs), "entity-terms")
     alone = pairs.where((F.col("term") == 0) & (F.col("n") >= support)).select("entity", F.col("n").alias("n_entity"))
     near = pairs.where((F.col("term") != 0) & (F.col("n") >= support)).join(alone, "entity")
-    near = common.cut(near, "entity-near")
-    terms = near.select("term").distinct()
-    counts = _document_counts(docs, terms, terms.count(), limit)
+    counts = _document_counts(docs, near.select("term").distinct(), limit)
     total = docs.count()
     told = 1 - F.log(F.col("df") / F.col("n")) / F.log(F.lit(float(total)) / F.col("n_entity"))
     # An entity that stands in every document has nothing to tell.
-    return common.cut(near.join(counts, "term").where((F.col("n_entity") < total) & (told >= share)).select("entity", "term"), "disclosing")
+    return near.join(counts, "term").where((F.col("n_entity") < total) & (told >= share)).select("entity", "term")
 
 
 def all_spans(raw: bytes, told: dict[int, list[int]] | list[int]) -> tuple[list[Span], list[Span], str]:
@@ -216,9 +213,10 @@ def _joined(spans: list[Span]) -> str:
 def _told(docs: DataFrame, limit: int):
     """Disclosing terms: by entity, broadcast, or (beyond ``limit`` pairs) joined to the documents as a column."""
     pairs = disclosing(docs, limit=limit)
-    if pairs.count() <= limit:
+    few = pairs.limit(limit + 1).collect()
+    if len(few) <= limit:
         by: dict[int, list[int]] = {}
-        for row in pairs.collect():
+        for row in few:
             by.setdefault(row.entity, []).append(row.term)
         return docs.sparkSession.sparkContext.broadcast(by), docs
 
