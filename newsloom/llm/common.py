@@ -56,10 +56,14 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends here."""
-    path = scratch(df.sparkSession, name)
+    """Write ``df`` to the shared folder and read it back: lineage ends here.
+
+    Shuffle files of the job that wrote it are of no more use; Spark removes them once the driver has collected its garbage.
+    """
+    spark, path = df.sparkSession, scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
