@@ -12,9 +12,10 @@ exact record headers.
 
 Reading checks every payload against both digests in its header and fails on a mismatch.
 
-A null html is an empty payload; a null url is written as an empty target. A repeated page row gives one more
-record: the copy of the row that has the payload is the first, the others revisit their own page. An empty
-table gives no rows. Extra columns are ignored.
+A null html is an empty payload; a null url is written as an empty target. Every row gives one record. A page_id
+may come with several payloads, and all rows without page_id are one such page: each payload of at least
+``LEAST_BYTES`` bytes is held by the first row of its holder that has it, and only rows with the same payload
+revisit it. An empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -47,14 +48,14 @@ def _b32(hexadecimal: str) -> str:
     return base64.b32encode(bytes.fromhex(hexadecimal)).decode()
 
 
-def record_id(page_id: int, copy: int) -> str:
-    return f"<urn:uuid:{uuid.uuid5(_names, f'{page_id}/{copy}')}>"
+def record_id(page_id: int, sha256: str, copy: int) -> str:
+    return f"<urn:uuid:{uuid.uuid5(_names, f'{page_id}/{sha256}/{copy}')}>"
 
 
 def header(kind: str, page_id: int, copy: int, url: str, sha1: str, sha256: str, payload_bytes: int, refers_to: int | None) -> bytes:
-    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id(page_id, copy)}", f"WARC-Date: {DATE}", "WARC-Target-URI: " + re.sub(r"[\r\n]", "", url), f"WARC-Payload-Digest: sha1:{_b32(sha1)}", f"X-Payload-SHA256: {sha256}", f"X-Payload-Length: {payload_bytes}", f"X-Page-ID: {page_id}"]
+    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id(page_id, sha256, copy)}", f"WARC-Date: {DATE}", "WARC-Target-URI: " + re.sub(r"[\r\n]", "", url), f"WARC-Payload-Digest: sha1:{_b32(sha1)}", f"X-Payload-SHA256: {sha256}", f"X-Payload-Length: {payload_bytes}", f"X-Page-ID: {page_id}"]
     if kind == "revisit":
-        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(refers_to, 0)}", f"X-Refers-To-Page: {refers_to}"]
+        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(refers_to, sha256, 0)}", f"X-Refers-To-Page: {refers_to}"]
     lines += ["Content-Type: text/html; charset=utf-8", f"Content-Length: {0 if kind == 'revisit' else payload_bytes}"]
     return "\r\n".join(lines).encode("utf-8", "replace") + b"\r\n\r\n"
 
@@ -62,7 +63,7 @@ def header(kind: str, page_id: int, copy: int, url: str, sha1: str, sha256: str,
 def planned(pages: DataFrame) -> DataFrame:
     """Which row of each payload holds it: digests alone are shuffled for that, and a common payload is counted before it moves."""
     raw = F.coalesce(F.col("html").cast("binary"), F.lit(b"").cast("binary"))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", raw.alias("payload"))
+    rows = pages.select(F.coalesce(F.col("page_id").cast("long"), F.lit(common.NULL_ID)).alias("page_id"), "url", raw.alias("payload"))
     rows = rows.withColumns({"sha256": F.sha2("payload", 256), "payload_bytes": F.length("payload").cast("long")})
     thin = rows.select("page_id", "sha256", "payload_bytes")
     holders = thin.where(F.col("payload_bytes") >= LEAST_BYTES).groupBy("sha256", "payload_bytes").agg(F.max("page_id").alias("holder"), F.count("*").alias("times")).where("times > 1").drop("times")
@@ -72,11 +73,11 @@ def planned(pages: DataFrame) -> DataFrame:
 
 
 def _numbered(marked: DataFrame) -> DataFrame:
-    """``copy``: 0 for the first row of a page with this payload. Page ids normally don't repeat, which one narrow count shows."""
+    """``copy``: 0 for the first row of a page with this payload, which is stored unless another page holds it. Page ids normally don't repeat, which one narrow count shows."""
     repeated = marked.groupBy("page_id").count().where("count > 1")
     if repeated.isEmpty():
         return marked.withColumn("copy", F.lit(0))
-    order = Window.partitionBy("page_id").orderBy("sha256", "url")
+    order = Window.partitionBy("page_id", "sha256").orderBy("url")
     return marked.withColumn("copy", F.row_number().over(order) - 1)
 
 
@@ -100,7 +101,6 @@ def write(pages: DataFrame, target: str) -> None:
             column = {c: batch.column(c) for c in batch.schema.names}
             for i in range(batch.num_rows):
                 page, url, payload, sha256, holder, copy = (column[c][i].as_py() for c in ("page_id", "url", "payload", "sha256", "holder", "copy"))
-                page = common.NULL_ID if page is None else page
                 if holder is None and copy and len(payload) >= LEAST_BYTES:
                     holder = page
                 kind = "response" if holder is None else "revisit"
@@ -128,6 +128,10 @@ def write(pages: DataFrame, target: str) -> None:
 _MEMBER_CHUNK = 1 << 20
 
 
+def _known(page: int | None) -> int | None:
+    return None if page == common.NULL_ID else page
+
+
 def _records(stream) -> Iterator[tuple[dict[str, str], bytes, bytes]]:
     """(fields, exact header bytes, block) of each gzip member."""
     rest = stream.read(_MEMBER_CHUNK)
@@ -177,7 +181,7 @@ def records(spark: SparkSession, target: str, blocks: bool = False) -> DataFrame
                             raise ValueError(f"payload of page {fields['X-Page-ID']} does not match its digests")
                         page = int(fields["X-Page-ID"])
                         refers = fields.get("X-Refers-To-Page")
-                        rows.append((None if page == common.NULL_ID else page, kind, refers and int(refers), sha256, sha1, int(fields["X-Payload-Length"]), head, block if blocks else b""))
+                        rows.append((_known(page), kind, _known(refers and int(refers)), sha256, sha1, int(fields["X-Payload-Length"]), head, block if blocks else b""))
                         held += len(block) * blocks + 600
                         if held > 4 << 20:
                             yield batch_of(rows)
@@ -189,11 +193,16 @@ def records(spark: SparkSession, target: str, blocks: bool = False) -> DataFrame
     return parts.select("file").repartition("file").mapInArrow(run, RECORDS)
 
 
+def _stored(column: str):
+    """``column`` of a header's payload; reading fails where no payload has the header's address."""
+    return F.coalesce(column, F.raise_error(F.concat(F.lit("no payload is stored for SHA-256 "), "sha256"))).alias(column)
+
+
 def reconstruct(spark: SparkSession, target: str) -> DataFrame:
     """page_id, header, payload of every record: headers joined with the payloads by address."""
     found = records(spark, target, blocks=True).where("record_type = 'response'")
     payloads = found.groupBy("sha256").agg(F.first("block").alias("payload"))
-    return spark.read.parquet(f"{target}/headers").join(payloads, "sha256").select("page_id", "header", "payload")
+    return spark.read.parquet(f"{target}/headers").join(payloads, "sha256", "left").select("page_id", "header", _stored("payload"))
 
 
 def index(spark: SparkSession, target: str) -> DataFrame:
@@ -205,4 +214,4 @@ def index(spark: SparkSession, target: str) -> DataFrame:
     found = records(spark, target)
     stored = found.where("record_type = 'response'").groupBy("sha256").agg(F.max("payload_bytes").alias("payload_bytes"), F.max("sha1").alias("payload_digest"))
     heads = spark.read.parquet(f"{target}/headers").select("page_id", "record_type", "refers_to", "sha256")
-    return heads.join(stored, "sha256").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return heads.join(stored, "sha256", "left").select("page_id", _stored("payload_bytes"), _stored("payload_digest"), "record_type", "refers_to")

@@ -3,6 +3,7 @@
 import gzip
 import hashlib
 
+import pytest
 from pyspark.sql import functions as F
 from oracle import actual, expected
 
@@ -39,6 +40,36 @@ def test_archive_of_repeated_rows_and_of_none(spark, tmp_path):
     assert warc.index(spark, f"file://{tmp_path}/b").count() == 0
 
 
+def test_archive_of_page_ids_with_several_payloads(spark, tmp_path):
+    a, b = sorted(("a" * 2000, "b" * 2000), key=lambda x: hashlib.sha256(x.encode()).hexdigest(), reverse=True)
+    rows = [(7, "u", a), (7, "u", b), (7, "u", b), (3, "u", a), (None, "u", "c" * 1500), (None, "u", "d" * 1500), (None, "v", "d" * 1500), (None, "u", a), (None, "u", "q"), (None, "u", "q")]
+    target = f"file://{tmp_path}/warc"
+    warc.write(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3), target)
+    key = lambda i, h: (str(i), hashlib.sha1(h.encode()).hexdigest())
+    got = warc.index(spark, target).collect()
+    assert sorted((str(r.page_id), r.payload_digest) for r in got) == sorted(key(i, h) for i, _, h in rows)
+    assert sorted((str(r.page_id), r.payload_digest, str(r.refers_to)) for r in got if r.record_type == "revisit") == sorted([(*key(7, b), "7"), (*key(3, a), "7"), (*key(None, "d" * 1500), "None"), (*key(None, a), "7")])
+    whole = warc.reconstruct(spark, target).collect()
+    assert sorted((str(r.page_id), bytes(r.payload).decode()) for r in whole) == sorted((str(i), h) for i, _, h in rows)
+    stored = b"".join(gzip.open(p).read() for p in (tmp_path / "warc/archive").glob("*.warc.gz"))
+    assert stored.count(a.encode()) == 1
+    ids = [line for line in stored.split(b"\r\n") if line.startswith(b"WARC-Record-ID: ")]
+    assert len(ids) == len(set(ids)) == len(rows)
+    referred = {line.split(b": ")[1] for line in stored.split(b"\r\n") if line.startswith(b"WARC-Refers-To: ")}
+    assert referred <= {x.split(b": ")[1] for x in ids}
+
+
+def test_archive_without_a_payload_fails(spark, tmp_path):
+    target = f"file://{tmp_path}/warc"
+    warc.write(spark.createDataFrame([(1, "u", "x" * 1500)], "page_id long, url string, html string"), target)
+    spark.read.parquet(f"{target}/headers").withColumn("sha256", F.lit("0" * 64)).write.parquet(f"{target}/other")
+    (tmp_path / "warc/headers").rename(tmp_path / "warc/old")
+    (tmp_path / "warc/other").rename(tmp_path / "warc/headers")
+    for read in (warc.index, warc.reconstruct):
+        with pytest.raises(Exception, match="no payload is stored"):
+            read(spark, target).collect()
+
+
 def test_snapshots(spark):
     def turns(conv, *said):
         return [(conv, i, "user" if i % 2 == 0 else "assistant", s) for i, s in enumerate(said)]
