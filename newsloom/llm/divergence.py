@@ -6,6 +6,12 @@ Jensen-Shannon distance (base 2, 0 to 1). Short texts have unsteady shares, so e
 length below which it does not speak. A document whose language is null or has no reference is held
 against the nearest one.
 
+The limit of the word test comes from the corpus, by language and length: ``BANDS`` bands of length double it. In each
+band the distances of the language's own documents (those that pass the base rules, equal distances once) give
+a fence, as far above the median as the lower quartile is below it, times ``FENCE``; texts in a wrong language
+lie in the upper half and don't move the lower one. The fence of a band is the median of those around it, and always
+below the distance of a text without a single common word.
+
 Before that stand the base rules: at least ``MIN_WORDS`` words, and at most half of them within three-word
 windows that come twice or more.
 
@@ -31,8 +37,13 @@ COMMON_WORDS = 40
 LEAST_SHARE = 1 / 1000
 #: A test is silent on texts of fewer words.
 CLASS_GUARD, WORD_GUARD = 50, 100
-#: Largest Jensen-Shannon distance that is kept.
-CLASS_LIMIT, WORD_LIMIT = 0.23, 0.4
+#: Largest Jensen-Shannon distance of the classes that is kept.
+CLASS_LIMIT = 0.23
+#: For words: Tukey's fence lies four times the half of a normal distribution's quartile distance over its median. The
+#: half counts as ``LEAST_SPREAD`` of the median at least, and bands of fewer than ``BAND_TEXTS`` distances take the next one's fence.
+FENCE, LEAST_SPREAD, BAND_TEXTS, BANDS = 4, 0.05, 20, 3
+#: Largest share of the distance of a text without common words that is kept.
+NO_WORDS = 0.98
 
 #: Character classes by byte; bytes that continue a code point count in none.
 CLASSES = ("lower", "upper", "digit", "space", "stop", "symbol", "letter_beyond", "other")
@@ -185,13 +196,48 @@ def base_counts(texts: list[bytes]) -> dict[str, np.ndarray]:
     return {"n_words": n_words, "word_chars": histograms @ _word_chars, "n_symbols": histograms @ _symbols, "n_dup_lines": np.array(dup_lines, np.int64), "n_repeat_words": repeats, "histograms": histograms, "words": words, "starts": starts}
 
 
+def bands_of(n: np.ndarray) -> np.ndarray:
+    """Length band of texts of ``n`` words; -1 where the word test is silent."""
+    return np.where(n >= WORD_GUARD, np.floor(BANDS * np.log2(np.maximum(n, WORD_GUARD) / WORD_GUARD)), -1).astype(np.int64)
+
+
+def fences(found: dict[int, tuple[float, float, int]], none: float, last: int) -> list[float]:
+    """The limit of each band up to ``last``. ``found``: lower quartile, median and number of distances by band."""
+    own = {b: median + FENCE * max(median - low, LEAST_SPREAD * median) for b, (low, median, n) in found.items() if n >= BAND_TEXTS}
+    # Shorter texts lie farther off: the next shorter band's fence is on the safe side, the next longer one's is the best there is.
+    every = [own[max((x for x in own if x <= b), default=min(own))] if own else np.inf for b in range(last + 1)]
+    reach = [min(2, b, last - b) for b in range(last + 1)]
+    return [min(float(np.median(every[b - r : b + r + 1])), NO_WORDS * none) for b, r in enumerate(reach)]
+
+
+def word_limits(rows: DataFrame, known: dict[str, dict]) -> list[tuple[str, int, float]]:
+    """(language, band, limit) for every band that stands in ``rows``."""
+    last = rows.agg(F.max("band")).first()[0]
+    if last is None or last < 0:
+        return []
+    own = rows.where("labelled and not base_failed and band >= 0").select("word_lang", "band", "word_distance").distinct()
+    quartiles = own.groupBy("word_lang", "band").agg(F.percentile_approx("word_distance", [0.25, 0.5], 10_000).alias("q"), F.count("*").alias("n"))
+    found: dict[str, dict[int, tuple[float, float, int]]] = {}
+    for row in quartiles.collect():
+        found.setdefault(row.word_lang, {})[row.band] = (*row.q, row.n)
+    out = []
+    for lang, reference in known.items():
+        none = np.zeros((1, len(reference["shares"])))
+        none[0, -1] = 1
+        limits = fences(found.get(lang, {}), float(distance(none, reference["shares"])[0]), last)
+        out += [(lang, band, limit) for band, limit in enumerate(limits)]
+    return out
+
+
 def judged(texts: list[bytes], langs: list[str | None], known: dict[str, dict]) -> dict[str, np.ndarray]:
+    """The measures; ``kept`` is the verdict before the word test, and ``word_lang`` the language that this test holds a text against."""
     base = base_counts(texts)
     n, words, starts = base["n_words"], base.pop("words"), base.pop("starts")
     failed = (n < MIN_WORDS) | (100 * base["n_repeat_words"] > 50 * n)
     classes = base.pop("histograms") @ CLASS_OF
     classes /= np.maximum(1, classes.sum(1, keepdims=True))
     class_d, word_d = np.ones(len(texts)), np.ones(len(texts))
+    nearest = np.full(len(texts), None, object)
     lower = [w.lower() if not w.islower() else w for w in words] if known else []
     tables = {lang: {w: i for i, w in enumerate(own["words"])} for lang, own in known.items()}
     for lang, own in known.items():
@@ -205,24 +251,31 @@ def judged(texts: list[bytes], langs: list[str | None], known: dict[str, dict])
             shares[row] = np.bincount(got, minlength=rest + 1) if got else 0
         shares /= np.maximum(1, shares.sum(1, keepdims=True))
         class_d[at] = np.minimum(class_d[at], distance(classes[at], own["classes"]))
-        word_d[at] = np.minimum(word_d[at], distance(shares, own["shares"]))
-    strange = (n >= CLASS_GUARD) & (class_d > CLASS_LIMIT) | (n >= WORD_GUARD) & (word_d > WORD_LIMIT)
-    return base | {"base_failed": failed, "kept": ~failed & ~(strange if known else np.zeros(len(texts), bool)), "class_distance": class_d, "word_distance": word_d}
+        apart = distance(shares, own["shares"])
+        nearest[at[(apart < word_d[at]) | (nearest[at] == None)]] = lang  # noqa: E711
+        word_d[at] = np.minimum(word_d[at], apart)
+    strange = (n >= CLASS_GUARD) & (class_d > CLASS_LIMIT)
+    return base | {"base_failed": failed, "kept": ~failed & ~(strange if known else np.zeros(len(texts), bool)), "class_distance": class_d, "word_distance": word_d, "word_lang": nearest, "band": bands_of(n), "labelled": np.array([x in known for x in langs], bool)}
 
 
 def judge(docs: DataFrame) -> DataFrame:
     """The base measures, both distances and the verdict for every row."""
     common.ship(docs.sparkSession)
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    held = docs.sparkSession.sparkContext.broadcast(references(docs))
+    known = references(docs)
+    held = docs.sparkSession.sparkContext.broadcast(known)
+    flags = ("base_failed", "kept", "class_distance", "word_distance", "band", "labelled")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs = batch.column("lang").to_pylist()
             for start, texts in common.slices(batch):
                 got = judged(texts, langs[start : start + len(texts)], held.value)
-                columns = [*(pa.array(got[x].astype(np.int64)) for x in names), *(pa.array(got[x]) for x in ("base_failed", "kept", "class_distance", "word_distance"))]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(start, len(texts)), *columns], ["doc_id", *names, "base_failed", "kept", "class_distance", "word_distance"])
-
-    schema = "doc_id long, " + ", ".join(f"{x} long" for x in names) + ", base_failed boolean, kept boolean, class_distance double, word_distance double"
-    return docs.select(F.col("doc_id").cast("long"), "lang", "text").mapInArrow(run, schema)
+                columns = [*(pa.array(got[x].astype(np.int64)) for x in names), *(pa.array(got[x]) for x in flags), pa.array(got["word_lang"].tolist(), pa.string())]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(start, len(texts)), *columns], ["doc_id", *names, *flags, "word_lang"])
+
+    schema = "doc_id long, " + ", ".join(f"{x} long" for x in names) + ", base_failed boolean, kept boolean, class_distance double, word_distance double, band long, labelled boolean, word_lang string"
+    rows = common.cut(docs.select(F.col("doc_id").cast("long"), "lang", "text").mapInArrow(run, schema), "distances")
+    limits = docs.sparkSession.createDataFrame(word_limits(rows, known), "word_lang string, band long, word_limit double")
+    kept = F.col("kept") & ~F.coalesce(F.col("word_distance") > F.col("word_limit"), F.lit(False))
+    return rows.join(F.broadcast(limits), ["word_lang", "band"], "left").select("doc_id", *names, "base_failed", kept.alias("kept"), "class_distance", "word_distance")

@@ -88,6 +88,30 @@ def test_divergence(docs, texts, nothing):
     assert divergence.judge(nothing).count() == 0
 
 
+def test_divergence_of_mislabelled_texts(spark):
+    rng = np.random.default_rng(11)
+    shares = 1 / np.arange(1, 41)
+
+    def text(lang, n):
+        """About 30 % of the words are among 40 common ones."""
+        often = rng.choice(40, n, p=shares / shares.sum())
+        return " ".join(f"{lang}{a}" if x < 0.3 else f"{lang}rare{b}" for a, b, x in zip(often, rng.integers(0, 30_000, n), rng.random(n), strict=True))
+
+    rows = [(i, text("ab"[i % 2], n), "ab"[i % 2]) for i, n in enumerate(rng.integers(100, 900, 1200).tolist())]
+    wrong = [(10_000 + i, text("ab"[i % 2], n), "ba"[i % 2]) for i, n in enumerate(rng.integers(100, 900, 100).tolist())]
+    strange = [(20_000 + i, " ".join(f"z{k}" for k in rng.integers(0, 30_000, n)), "ab"[i % 2]) for i, n in enumerate(rng.integers(100, 900, 40).tolist())]
+    open_ = [(30_000 + i, text("a", 300), None) for i in range(20)] + [(31_000, " ".join(f"q{k}" for k in range(300)), None)]
+    got = by_id(divergence.judge(spark.createDataFrame([*rows, *wrong, *strange, *open_], "doc_id long, text string, lang string")))
+    assert not any(got[i].kept for i, _, _ in [*wrong, *strange]) and not got[31_000].kept
+    assert sum(got[i].kept for i, _, _ in rows) >= 0.98 * len(rows) and sum(got[30_000 + i].kept for i in range(20)) >= 18
+
+
+def test_divergence_limit_withstands_a_group_of_near_copies():
+    plain = {b: (0.25 - 0.01 * b, 0.26 - 0.01 * b, 500) for b in range(9)}
+    limits = divergence.fences(plain | {4: (0.1, 0.1, 500)}, 0.4, 8)
+    assert all(plain[b][1] + 0.03 < limits[b] < 0.35 for b in range(9)) and max(divergence.fences({}, 0.4, 3)) < 0.4
+
+
 def test_repeats(docs, texts, nothing):
     seen, expected = set(), {}
     for i, t in enumerate(texts):
