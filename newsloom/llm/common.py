@@ -70,15 +70,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def one_row_per_id(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) with one row per doc_id.
+def row_keys(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """``docs`` with a number for each row in ``_row``, and whether it is another one than doc_id.
 
-    Tables normally hold each id once, which a count over the id column alone shows. Only where ids
-    repeat, the smallest text of an id is taken.
+    Numbers ascend with doc_id (null first), then with the text. Tables normally hold each id once, which a count over
+    the id column alone shows; there the id is the number. Only where ids repeat, or several rows have none, the rows
+    are sorted and written once with numbers of their own.
     """
-    ids = docs.groupBy("doc_id").count().where("count > 1")
-    two = docs.select("doc_id", "text")
-    return two if ids.isEmpty() else two.groupBy("doc_id").agg(F.min("text").alias("text"))
+    own = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
+    if docs.groupBy(own.alias("_row")).count().where("count > 1").isEmpty():
+        return docs.withColumn("_row", own), False
+    # Equal rows keep the order they are read in; it also parts a large group of them.
+    order = [F.col("_row").asc(), F.col("text").asc_nulls_first(), F.col("_read").asc()]
+    spread = docs.withColumns({"_row": own, "_read": F.monotonically_increasing_id()}).repartitionByRange(*order).sortWithinPartitions(*order)
+    return cut(spread.withColumn("_row", F.monotonically_increasing_id()).drop("_read"), "row-keys"), True
 
 
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_CHARS) -> Iterator[tuple[int, list[bytes]]]:

@@ -22,8 +22,9 @@ lost, and neither the copies in a group nor its stragglers are paired with each
 counts shared n-grams exactly.
 
 n-grams: lower-cased (A-Z) words between ASCII white space; a text of fewer words is one n-gram; without words
-or text the set is empty and linked with nothing. A document is one doc_id; of repeated ids the smallest text
-counts. A null doc_id sorts first. Empty tables give no rows. Extra columns are ignored.
+or text the set is empty and linked with nothing. A document is one row, and each row has a result. Rows
+that share a doc_id, or have none, are ordered by their texts (``common.row_keys``). A component bears the doc_id of its first
+row; a null doc_id sorts first. Empty tables give no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -248,11 +249,8 @@ def _labelled(reps: DataFrame, links: DataFrame, name: str) -> DataFrame:
     return reps.join(parts, reps["rep"] == parts["node"], "left").withColumn(name, F.coalesce("component", "rep")).drop("node", "component")
 
 
-def clusters(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document; documents link at similarity num / den."""
-    common.ship(docs.sparkSession)
-    rule = Rule(words, num, den)
-    one = common.one_row_per_id(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(common.NULL_ID)).alias("doc_id"), "text")
+def _grouped(one: DataFrame, rule: Rule) -> DataFrame:
+    """doc_id, n_shingles, whole (its component) of every document. Each doc_id stands once and is not null."""
     order = Window.partitionBy("key", "kind", "check").orderBy("doc_id")
     met = _rows(one, rule).withColumns({"first": F.first("doc_id").over(order.rowsBetween(Window.unboundedPreceding, 0)), "next": F.lead("doc_id").over(order)})
     met = common.cut(met.where((F.col("kind") != BLOCK) | (F.col("first") != F.col("doc_id")) | F.col("next").isNotNull()).select("key", "kind", "doc_id", "n", "first"), "buckets")
@@ -295,15 +293,29 @@ def clusters(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     pairs = common.cut(pairs.where(able).select("a", "b"), "pairs")
     more = common.cut(_compared(pairs, texts, rule).where("linked").select("a", "b"), "links")
 
-    final = _labelled(classes, links.unionByName(more), "whole")
-    back = lambda c: F.nullif(F.col(c), F.lit(common.NULL_ID))
-    return final.select(back("doc_id").alias("doc_id"), F.col("n_shingles").cast("long").alias("n_shingles"), back("whole").alias("component_id"))
+    return _labelled(classes, links.unionByName(more), "whole").select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), "whole")
+
+
+def clusters(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row; documents link at similarity num / den."""
+    common.ship(docs.sparkSession)
+    rows, numbered = common.row_keys(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    final = _grouped(rows.select(F.col("_row").alias("doc_id"), "text"), Rule(words, num, den))
+    if not numbered:
+        back = lambda c: F.nullif(F.col(c), F.lit(common.NULL_ID))
+        return final.select(back("doc_id").alias("doc_id"), "n_shingles", back("whole").alias("component_id"))
+    final = common.cut(final.select(F.col("doc_id").alias("_row"), "n_shingles", "whole"), "rows")
+    names = rows.select("_row", "doc_id")
+    firsts = final.select("whole").distinct().join(names.select(F.col("_row").alias("whole"), F.col("doc_id").alias("component_id")), "whole")
+    return final.join(names, "_row").join(firsts, "whole").select("doc_id", "n_shingles", "component_id")
 
 
 def kept(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The rows, all columns, of one document of each component: that with the smallest id.
+    """The row, all columns, of one document of each component: the first by doc_id, then by text.
 
     A null doc_id sorts first. Documents without words stay each.
     """
-    lost = clusters(docs, words, num, den).where(~F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("_lost"))
-    return docs.join(lost, F.col("doc_id").eqNullSafe(F.col("_lost")), "left_anti")
+    common.ship(docs.sparkSession)
+    rows, _ = common.row_keys(docs)
+    lost = _grouped(rows.select(F.col("_row").alias("doc_id"), "text"), Rule(words, num, den)).where("whole != doc_id").select(F.col("doc_id").alias("_row"))
+    return rows.join(lost, "_row", "left_anti").select(docs.columns)

@@ -13,8 +13,8 @@ maximal repeats, and their words are removed, whether or not the earlier copy is
 compared within itself first, so a passage that a third of all documents share arrives as one row of each
 such slice; a repeat found there never enters the join.
 
-A document is one doc_id; of repeated ids the smallest text counts (``common.one_row_per_id``). A null doc_id
-sorts first. Null and empty texts have no words. An empty table gives no rows. Extra columns are ignored.
+A document is one row, and each row has a result. Rows that share a doc_id, or have none, are ordered by their
+texts (``common.row_keys``). A null doc_id sorts first. Null and empty texts have no words. An empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -115,12 +115,8 @@ def _extended(asked: DataFrame, docs: DataFrame) -> DataFrame:
     return docs.join(wanted, "doc_id").select("doc_id", "text", "places").mapInArrow(run, "window long, doc_id long, at long")
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return common.one_row_per_id(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(common.NULL_ID)).alias("doc_id"), "text")
-
-
 def marks(docs: DataFrame) -> DataFrame:
-    """(doc_id, place): runs of windows that start earlier too. ``docs`` has one row per id."""
+    """(doc_id, place): runs of windows that start earlier too. Each doc_id stands once in ``docs`` and is not null."""
     by_kind = Window.partitionBy("anchor", "kind").orderBy("doc_id", "place")
     by_anchor = Window.partitionBy("anchor")
     spread = _seeds(docs).repartition("anchor")
@@ -143,10 +139,10 @@ def _covered(n: int, places: list[int] | None) -> np.ndarray:
 
 
 def _judged(docs: DataFrame) -> DataFrame:
-    """doc_id, text, places of every document."""
-    one = _keyed(docs)
-    found = marks(one).groupBy("doc_id").agg(F.collect_list("place").alias("places"))
-    return one.join(found, "doc_id", "left").select(F.nullif(F.col("doc_id"), F.lit(common.NULL_ID)).alias("doc_id"), "text", "places")
+    """doc_id, text, places of every row."""
+    rows, _ = common.row_keys(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    found = marks(rows.select(F.col("_row").alias("doc_id"), "text")).groupBy(F.col("doc_id").alias("_row")).agg(F.collect_list("place").alias("places"))
+    return rows.join(found, "_row", "left").select("doc_id", "text", "places")
 
 
 def removed(docs: DataFrame) -> DataFrame:
@@ -172,7 +168,7 @@ def removed(docs: DataFrame) -> DataFrame:
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 of every document."""
+    """doc_id, n_words, n_removed, kept_sha256 of every row."""
     common.ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

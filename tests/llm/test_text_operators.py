@@ -138,6 +138,16 @@ def test_repeats_of_repeated_and_null_ids(spark):
     assert got == {None: 0, 1: 30, 2: 0}
 
 
+def test_repeats_in_every_row_without_id_or_with_a_repeated_one(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(None, a), (None, b), (None, b), (4, c), (4, a), (4, None), (9, f"x {c} y"), (-(2**63), b)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted((str(r.doc_id), r.n_words, r.n_removed) for r in repeats.report(table).collect()) == sorted(
+        [("None", 30, 0), ("None", 30, 0), ("None", 30, 30), ("4", 30, 0), ("4", 30, 30), ("4", 0, 0), ("9", 32, 30), (str(-(2**63)), 30, 30)]
+    )
+    assert sorted(r.text for r in repeats.removed(table).collect()) == sorted(["", "", "", "", a, b, c, "x y"])
+
+
 def components(sets, num, den):
     parent = {i: i for i in sets}
 
@@ -177,6 +187,20 @@ def test_jaccard_chain_without_common_centre(spark):
     assert got == dict.fromkeys([*range(12), None]) | {50: 50}
 
 
+def test_jaccard_of_rows_without_id_or_with_a_repeated_one(spark):
+    a, b, c = ([f"{x}{i}" for i in range(120)] for x in "abc")
+    near = lambda words: " ".join([*words[:-1], "other"])
+    a, b, c, a2, b2, c2 = *map(" ".join, (a, b, c)), near(a), near(b), near(c)
+    rows = [(None, a, 1), (None, b, 2), (None, b2, 3), (5, a2, 4), (5, c, 5), (5, c, 6), (6, c2, 7), (6, "of its own", 8), (7, None, 9), (7, None, 10)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, at long").repartition(3)
+    got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in jaccard.clusters(table, 3, 90, 100).collect())
+    assert got == sorted([("None", 118, "None")] * 3 + [("5", 118, "None")] + [("5", 118, "5")] * 2 + [("6", 118, "5"), ("6", 1, "6")] + [("7", 0, "7")] * 2)
+    rest = jaccard.kept(table, 3, 90, 100)
+    assert rest.columns == table.columns
+    left = {r["at"] for r in rest.collect()}
+    assert left in ({1, 2, 8, 9, 10, x} for x in (5, 6))
+
+
 def test_sketch_blocks_of_linked_sets_meet():
     rule, rng = jaccard.Rule(5, 80, 100), np.random.default_rng(3)
     for size in (3, 8, 20, 57, 300, 1500):
