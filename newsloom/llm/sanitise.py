@@ -1,15 +1,15 @@
 """Personal data: patterns, and terms that give a protected entity away.
 
 The base finds e-mail addresses, IP addresses, card numbers and telephone numbers. Each of their values is
-a protected entity. Over the whole corpus it is counted in how many documents an entity stands, and in how
-many of them a term stands near it (``NEAR`` words on either side); for those terms, in how many documents
-they stand at all. With N documents, the pointwise mutual information of entity e and term t, as a share
-of all there is to know of e, is
+a protected entity. Over the whole corpus it is counted in how many documents an entity stands, in how many of
+them a term stands too, anywhere in the text, and in how many documents the term stands at all. With N documents, the
+pointwise mutual information of entity e and term t, as a share of all there is to know of e, is
 
-    PMI(e; t) / IC(e) = 1 - ln(df(t) / n(e, t)) / ln(N / n(e)).
+    PMI(e; t) / IC(e) = 1 - ln(1 / P(e | t)) / ln(N / n(e)),    P(e | t) = (n(e, t) + a P(e)) / (df(t) + a), P(e) = n(e) / N.
 
-In a document that holds e, terms whose share reaches ``DISCLOSURE`` are generalised too. Pairs seen in
-fewer than ``SUPPORT`` documents are chance and don't count.
+In a document that holds e, terms whose share reaches ``DISCLOSURE`` are generalised too. ``PRIOR`` (a) documents in
+which e is as frequent as anywhere stand against chance: few documents tell less than many, but no number of them is
+too small to decide.
 
 Null text is empty. An empty table gives no rows. Rows are treated each for itself; repeated rows count as
 often as they stand. Extra columns are kept by ``sanitise`` and ignored by ``report``.
@@ -20,7 +20,6 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -31,11 +30,12 @@ from pyspark.sql import functions as F
 from . import common
 
 KINDS = ("email", "ip", "card", "phone")
-NEAR = 6
-SUPPORT = 4
+PRIOR = 1.0
 DISCLOSURE = 0.8
 #: Candidate terms, and disclosing pairs, are broadcast up to this number; beyond it they are joined.
 BROADCAST_ROWS = 300_000
+#: Terms with so many entities that can disclose none of them are dropped by a broadcast, before pairs are dealt out by term.
+COMMON_PAIRS = 1000
 
 _domain = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _local = re.compile(r"[A-Za-z0-9._%+-]+\Z")
@@ -108,14 +108,6 @@ def _free(text: str, spans: list[Span], begin: int, end: int) -> Iterator[re.Mat
             yield m
 
 
-def _context(text: str, spans: list[Span], span: Span) -> set[str]:
-    reach = 40 * NEAR
-    left = text[max(0, span[0] - reach) : span[0]]
-    before = [m[0].lower() for m in _free(text, spans, span[0] - len(left), span[0])][-NEAR:]
-    after = [m[0].lower() for m in islice(_free(text, spans, span[1], min(len(text), span[1] + reach)), NEAR)]
-    return {*before, *after}
-
-
 def _pairs(docs: DataFrame) -> DataFrame:
     """(entity, term, n documents); the term 0 stands for the entity alone."""
 
@@ -126,10 +118,12 @@ def _pairs(docs: DataFrame) -> DataFrame:
                 for raw in texts:
                     if spans := base_spans(raw):
                         text, mine = raw.decode("utf-8", "replace"), set()
+                        terms = {_key(w) for w in {m[0].lower() for m in _free(text, spans, 0, len(text))}}
                         for span in spans:
                             e = _entity(text, span)
-                            mine.add((e, 0))
-                            mine.update((e, _key(w)) for w in _context(text, spans, span))
+                            if (e, 0) not in mine:
+                                mine.add((e, 0))
+                                mine.update((e, t) for t in terms)
                         for pair in mine:
                             found[pair] = found.get(pair, 0) + 1
                 yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64()), pa.array(list(found.values()), pa.int64())], ["entity", "term", "n"])
@@ -169,17 +163,22 @@ def _document_counts(docs: DataFrame, terms: DataFrame, limit: int) -> DataFrame
     return counted.groupBy("term").agg(F.sum("n").alias("df"))
 
 
-def disclosing(docs: DataFrame, support: int = SUPPORT, share: float = DISCLOSURE, limit: int = BROADCAST_ROWS) -> DataFrame:
+def disclosing(docs: DataFrame, share: float = DISCLOSURE, limit: int = BROADCAST_ROWS) -> DataFrame:
     """(entity, term): terms that tell too much about an entity."""
     common.ship(docs.sparkSession)
     pairs = common.cut(_pairs(docs), "entity-terms")
-    alone = pairs.where((F.col("term") == 0) & (F.col("n") >= support)).select("entity", F.col("n").alias("n_entity"))
-    near = pairs.where((F.col("term") != 0) & (F.col("n") >= support)).join(alone, "entity")
-    counts = _document_counts(docs, near.select("term").distinct(), limit)
-    total = docs.count()
-    told = 1 - F.log(F.col("df") / F.col("n")) / F.log(F.lit(float(total)) / F.col("n_entity"))
-    # An entity that stands in every document has nothing to tell.
-    return near.join(counts, "term").where((F.col("n_entity") < total) & (told >= share)).select("entity", "term")
+    total = F.lit(float(docs.count()))
+    alone = pairs.where("term = 0").select("entity", F.col("n").alias("n_entity"))
+    # The share reaches its limit up to a document frequency that the pair alone gives. An entity that stands in every document has nothing to tell.
+    chance = F.col("n_entity") / total
+    most = (F.col("n") + PRIOR * chance) / F.pow(chance, F.lit(1 - share)) - PRIOR
+    near = common.cut(pairs.where("term != 0").join(alone, "entity").where(F.col("n_entity") < total).select("entity", "term", most.alias("most")).where("most >= 1"), "entity-reach")
+    terms = near.groupBy("term").agg(F.max("most").alias("most"), F.count("*").alias("pairs"))
+    counts = _document_counts(docs, terms.select("term"), limit)
+    terms = common.cut(terms.join(counts, "term"), "entity-counts")
+    telling = terms.where("df <= most").select("term", "df")
+    vain = terms.where(F.col("pairs") >= COMMON_PAIRS).where("df > most").select("term")
+    return near.join(F.broadcast(vain), "term", "left_anti").join(telling, "term").where("df <= most").select("entity", "term")
 
 
 def all_spans(raw: bytes, told: dict[int, list[int]] | list[int]) -> tuple[list[Span], list[Span], str]:

@@ -304,6 +304,18 @@ def test_sanitise(spark, nothing, docs):
     assert sanitise.sanitise(docs).columns == docs.columns
 
 
+def test_sanitise_of_entities_in_few_documents(spark):
+    """A name at the top gives the address in the footer away, though it stands in one or two documents and far off."""
+    middle = "the plain words of every letter " * 30
+    few = [(0, f"Xaverius {middle} mail once@corp.example"), (1, f"Yolandette {middle} mail pair@corp.example"), (2, f"Yolandette {middle} mail pair@corp.example")]
+    plain = [(100 + i, f"Wilhelm {middle} mail number{chr(97 + i % 26)}{chr(97 + i // 26)}") for i in range(400)]
+    table = spark.createDataFrame([*few, *plain], "doc_id long, text string")
+    for limit in (sanitise.BROADCAST_ROWS, 0):
+        got = by_id(sanitise.report(table, limit=limit))
+        assert [got[i].spans.split(",")[0] for i in range(3)] == ["term:0:8", "term:0:10", "term:0:10"]
+        assert all(got[i].spans.count(",") == 1 for i in range(3)) and not any(got[100 + i].spans for i in range(400))
+
+
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
