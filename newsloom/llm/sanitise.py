@@ -43,6 +43,8 @@ _ip = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _card = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _phone = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _word = re.compile(r"[^\W\d_]{3,}")
+#: Every text with a base span matches this; few others do.
+_MAYBE = r"@[A-Za-z0-9-]|\+[0-9]|[0-9]\.[0-9]+\.[0-9]+\.[0-9]|[0-9]([\x20-]?[0-9]){13}"
 _NOT_DIGITS = bytes(c for c in range(256) if not 0x30 <= c <= 0x39)
 
 Span = tuple[int, int, str]
@@ -221,14 +223,17 @@ def _told(docs: DataFrame, limit: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id").to_pylist()
+            ids = batch.column("_text").to_pylist()
             for start, texts in common.slices(batch):
-                rows = [(ids[i], e) for i, raw in enumerate(texts, start) if (spans := base_spans(raw)) for text in [raw.decode("utf-8", "replace")] for e in {_entity(text, s) for s in spans}]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], ["doc_id", "entity"])
-
-    held = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, entity long")
-    terms = held.join(pairs, "entity").groupBy(F.col("doc_id").alias("_of")).agg(F.collect_set("term").alias("_terms"))
-    return None, docs.join(terms, F.col("doc_id").eqNullSafe(F.col("_of")), "left").drop("_of")
+                rows = {(ids[i], e) for i, raw in enumerate(texts, start) if (spans := base_spans(raw)) for text in [raw.decode("utf-8", "replace")] for e in {_entity(text, s) for s in spans}}
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], ["_text", "entity"])
+
+    # A text is known by its hash: equal texts have the same entities and so the same terms, whatever their ids. Only texts that may hold an entity move.
+    maybe, key = F.coalesce(F.col("text").rlike(_MAYBE), F.lit(False)), F.xxhash64("text").alias("_text")
+    held = docs.where(maybe).select(key, "text").mapInArrow(run, "_text long, entity long").distinct()
+    terms = held.join(pairs, "entity").groupBy("_text").agg(F.collect_set("term").alias("_terms"))
+    joined = docs.where(maybe).withColumn("_text", key).join(terms, "_text", "left").select(*docs.columns, "_terms")
+    return None, joined.unionByName(docs.where(~maybe).withColumn("_terms", F.lit(None).cast("array<long>")))
 
 
 def report(docs: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:

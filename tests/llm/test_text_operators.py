@@ -316,6 +316,23 @@ def test_sanitise_of_entities_in_few_documents(spark):
         assert all(got[i].spans.count(",") == 1 for i in range(3)) and not any(got[100 + i].spans for i in range(400))
 
 
+def test_sanitise_of_rows_with_one_id(spark):
+    """On the joined path too, a row has the terms of its own entities alone, not those of other rows with its id."""
+    rows = [*[(None, "Xaverius wrote from once@corp.example")] * 3, (None, "Xaverius wrote from pair@corp.example")]
+    rows += [*((1000 + i, "wrote from pair@corp.example") for i in range(39)), *((i, "wrote from") for i in range(410))]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    for limit in (sanitise.BROADCAST_ROWS, 0):
+        got = sorted(r.text for r in sanitise.sanitise(table, limit=limit).where("doc_id is null").collect())
+        assert got == ["Xaverius wrote from [EMAIL]", *["[TERM] wrote from [EMAIL]"] * 3]
+
+
+def test_maybe_misses_no_base_span(texts):
+    rng = np.random.default_rng(6)
+    parts = ["a", "b.c", "@", "x.com", "-", ".", "10", "1.2.3.4", "255", "4111111111111111", " ", "+", "(555)", "é"]
+    for t in [t or "" for t in texts] + ["".join(rng.choice(parts, rng.integers(1, 12))) for _ in range(4000)]:
+        assert not sanitise.base_spans(t.encode()) or re.search(sanitise._MAYBE, t), t
+
+
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
