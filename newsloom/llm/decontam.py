@@ -179,10 +179,12 @@ def _arrow_types() -> list[tuple[str, pa.DataType]]:
 def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_words, runs of hit words, items that occur, and the longest matches, for every document."""
     common.ship(docs.sparkSession)
-    parts = [_scan(docs, index) for index in blocks(benchmark, window, block_bytes)]
-    if len(parts) == 1:
-        return parts[0]
-    # Only ids that repeat in a test set of several blocks meet again here: hits, not texts, are shuffled.
+    indexes = list(blocks(benchmark, window, block_bytes))
+    if len(indexes) == 1:
+        return _scan(docs, indexes[0])
+    # What several blocks find in a row meets here by the row's own key: hits, not texts, are shuffled.
+    rows, numbered = common.row_keys(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    parts = [_scan(rows.select(F.col("_row").alias("doc_id"), "text"), index) for index in indexes]
     both = parts[0]
     for part in parts[1:]:
         both = both.unionByName(part)
@@ -192,7 +194,10 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_byte
           case when size(out) > 0 and x.s <= element_at(out, -1).e
                then concat(slice(out, 1, size(out) - 1), array(named_struct('s', element_at(out, -1).s, 'e', greatest(element_at(out, -1).e, x.e))))
                else concat(out, array(x)) end)""")
-    return gathered.withColumn("runs", joined)
+    gathered = gathered.withColumn("runs", joined)
+    if not numbered:
+        return gathered.withColumn("doc_id", F.nullif("doc_id", F.lit(common.NULL_ID)))
+    return gathered.withColumnRenamed("doc_id", "_row").join(rows.select("_row", "doc_id"), "_row").select("doc_id", "n_words", "runs", "items", "matches")
 
 
 def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:

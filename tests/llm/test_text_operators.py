@@ -366,5 +366,15 @@ def test_decontamination(spark, docs, texts, nothing):
     assert not any(r.contaminated for r in decontam.report(docs, bench.limit(0)).collect())
 
 
+def test_decontamination_in_blocks_judges_each_row(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(12)) for x in "vw")
+    bench = spark.createDataFrame([(1, a), (2, b)], "item_id long, text string")
+    rows = [(None, a), (None, f"{b} end"), (None, "clean"), (3, a), (3, "clean too"), (4, f"{a} {b}"), (4, f"{a} {b}")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    said = lambda df: sorted((str(r.doc_id), r.n_words, sum(x.e - x.s for x in r.runs), sorted(r["items"])) for r in df.collect())
+    whole = said(decontam.find(table, bench))
+    assert len(whole) == 7 and said(decontam.find(table, bench, block_bytes=8)) == whole
+
+
 def test_scratch_follows_the_session(spark):
     assert common.scratch(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
