@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import weakref
 import zipfile
 from collections.abc import Iterator
 from pathlib import Path
@@ -22,7 +23,12 @@ WORD_CACHE = 400_000
 #: Stands for a null doc_id inside joins; it sorts before every other id.
 NULL_ID = -(2**63)
 
+#: With it a query's shuffle files go as the query ends, and not when the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _shipped: set[str] = set()
+#: Tables that ``cut`` wrote, and their folders.
+_folders: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def ship(spark: SparkSession) -> None:
@@ -58,12 +64,29 @@ def scratch(spark: SparkSession, name: str) -> str:
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here.
 
-    Shuffle files of the job that wrote it are of no more use; Spark removes them once the driver has collected its garbage.
+    The shuffle files of the job that wrote it are of no more use; Spark removes them as the job ends.
     """
     spark, path = df.sparkSession, scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    _folders[out] = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete what ``cut`` wrote for these tables, when nothing reads them any more."""
+    for old in tables:
+        spark = old.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(_folders.pop(old))
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -26,7 +26,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node that has an edge; a component is named by its smallest node.
 
-    ``edges`` has columns a and b. Each round is written to the shared folder, so lineage stays short.
+    ``edges`` has columns a and b. Each round is written to the shared folder, so lineage stays short; the round before goes.
     """
     now = common.cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "edges")
     mark = None
@@ -35,5 +35,6 @@ def components(edges: DataFrame) -> DataFrame:
         if seen == mark or not seen[0]:
             break
         mark = seen
-        now = common.cut(_small_star(_large_star(now)), "edges")
+        before, now = now, common.cut(_small_star(_large_star(now)), "edges")
+        common.drop(before)
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -10,15 +10,19 @@ of them leaves them out, one with more sends all. If one of two linked documents
 most E of the blocks they agree in are light, so one is left; if neither does, none is missing. A document
 takes part in its own band and, if it can link with a member of it, in the next one.
 
-Join: one exchange by block. Equal sets become one class first. In each bucket the most central member (that
-with most company in all its buckets) is compared with every other one. What is linked with it joins its
-component. Let x be a member that is not, and y any other: if x and y link, they share a member of
+Join: equal sets become one class first, counted before they move; only the first row of a class sends blocks.
+Blocks that a single class sends are dropped by a count that combines before the exchange. In each bucket the most central
+member (that with most company in all its buckets) is compared with every other one. What is linked with it joins
+its component. Let x be a member that is not, and y any other: if x and y link, they share a member of
 their differences from the centre. (Otherwise they would differ in |dx| + |dy| members, where |dx| is over
 (n_x + n_c) d and |dy| is at least |n_y - n_c|, so in more than (n_x + n_y) d, d = (1 - J) / (1 + J).) So the other
-pairs of a bucket are found by an equality join on (centre, difference): of each member only its rarest D + 1
-differences, as linked members leave at most D of them unshared. They are thinned by size, by component and by
-the Hamming distance of 512-bit sketches, and verified too. No link between different texts is
-lost, and neither the copies in a group nor its stragglers are paired with each other. Verification
+pairs of a star are found by their differences, and of each member only the first D + 1 in an order common to all
+matter, as linked members leave at most D of them unshared. Within a task the order is by rarity and pairs are verified
+on the spot: x and y differ where just one of dx and dy has a member. A star too large for one task is dealt to several,
+each with the centre; where some of its members are not linked with it, the first D + 1 differences
+of each (what the centre lacks first) are the keys of new buckets, which go the same way. Their members agree in one
+more n-gram, so this ends. Buckets whose members are all of one component or one task are left out. No link between
+different texts is lost, and neither the copies in a group nor its stragglers are paired with each other. Verification
 counts shared n-grams exactly.
 
 n-grams: lower-cased (A-Z) words between ASCII white space; a text of fewer words is one n-gram; without words
@@ -34,7 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common, graph
@@ -43,12 +47,8 @@ from . import common, graph
 BLOCK_BITS = 128
 #: Each band ends half as large again as it begins.
 BAND_RATIO = 1.5
-#: Members that one task compares with a centre; more are dealt to several tasks with a copy of the centre each.
-STAR_MEMBERS = 400
-SKETCH_WORDS = 8
-
-EXACT, BLOCK, EMPTY = 0, 1, 2
-ROWS = "key long, kind int, doc_id long, n int, check long"
+#: Members, and n-grams of them, that one task compares with a centre; a larger star is dealt to several tasks with a copy of the centre each.
+PART_ROWS, PART_GRAMS = 1000, 1 << 21
 
 _u = np.uint64
 
@@ -167,133 +167,196 @@ def _sums(hashes: np.ndarray, starts: np.ndarray, salt: int) -> np.ndarray:
     return total[starts[1:]] - total[starts[:-1]]
 
 
-def _rows(docs: DataFrame, rule: Rule) -> DataFrame:
-    """Of each document a row for its whole set, and one for each block it sends."""
+def _sets(docs: DataFrame, rule: Rule) -> DataFrame:
+    """Of each document the size of its set and two sums over it, which equal sets share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy()
             for start, texts in common.slices(batch):
                 hashes, starts = ngrams(texts, rule.words)
-                n, own = np.diff(starts), ids[start : start + len(texts)]
-                key = np.where(n > 0, common.mix(_sums(hashes, starts, 1) + n.astype(_u)).view(np.int64), own)
-                doc, keys = block_keys(hashes, starts, rule)
-                kind = np.concatenate([np.where(n > 0, EXACT, EMPTY), np.full(len(doc), BLOCK)])
-                check = np.concatenate([_sums(hashes, starts, 2).view(np.int64), np.zeros(len(doc), np.int64)])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([key, keys.view(np.int64)])), pa.array(kind.astype(np.int32)), pa.array(np.concatenate([own, own[doc]])), pa.array(np.concatenate([n, n[doc]]).astype(np.int32)), pa.array(check)], ["key", "kind", "doc_id", "n", "check"])
+                sums = [pa.array(_sums(hashes, starts, salt).view(np.int64)) for salt in (1, 2)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(start, len(texts)), pa.array(np.diff(starts)), *sums], ["doc_id", "n", "s", "t"])
 
-    return docs.mapInArrow(run, ROWS)
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, s long, t long")
 
 
-def _sketches(docs: DataFrame, rule: Rule) -> DataFrame:
-    """doc_id, n, text and a parity sketch of 512 bits."""
-    names = [f"s{i}" for i in range(SKETCH_WORDS)]
+def _blocks(docs: DataFrame, rule: Rule) -> DataFrame:
+    """(key, rep) of each sketch block that a document sends."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            ids = batch.column("doc_id").to_numpy()
             for start, texts in common.slices(batch):
-                hashes, starts = ngrams(texts, rule.words)
-                bit = (common.mix(hashes + _u(5)) & _u(64 * SKETCH_WORDS - 1)).astype(np.int64)
-                doc = np.repeat(np.arange(len(texts)), np.diff(starts))
-                odd = np.bincount(doc * 64 * SKETCH_WORDS + bit, minlength=len(texts) * 64 * SKETCH_WORDS).astype(np.uint8) & 1
-                words = np.packbits(odd.reshape(len(texts), SKETCH_WORDS, 64), axis=2, bitorder="little").view("<i8").reshape(len(texts), SKETCH_WORDS)
-                rows = batch.slice(start, len(texts))
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("text"), *(pa.array(np.ascontiguousarray(words[:, i])) for i in range(SKETCH_WORDS))], ["doc_id", "text", *names])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, text string, " + ", ".join(f"{x} long" for x in names))
-
-
-def _close(n: Column, m: Column, rule: Rule) -> Column:
-    return F.lit(rule.den) * F.least(n, m) >= F.lit(rule.num) * F.greatest(n, m)
+                doc, keys = block_keys(*ngrams(texts, rule.words), rule)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(ids[start + doc])], ["key", "rep"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "key long, rep long")
+
+
+class _Star:
+    """A centre and the members that one task compares with it."""
+
+    def __init__(self, rule: Rule, key: tuple[int, int], split: bool, centre: np.ndarray):
+        self.rule, self.key, self.split, self.centre = rule, key, split, centre
+        self.ids: list[int] = []
+        self.sizes: list[int] = []
+        self.apart: list[np.ndarray] = []  # the n-grams that only the centre or only the member has
+
+    def add(self, b: int, own: np.ndarray) -> None:
+        self.ids.append(b)
+        self.sizes.append(len(own))
+        self.apart.append(np.setxor1d(self.centre, own, assume_unique=True))
+
+    def _most(self) -> np.ndarray:
+        """Most members in which a set can differ from one that is linked with it."""
+        return np.array(self.sizes, np.int64) * (self.rule.den - self.rule.num) // self.rule.num
+
+    def _meetings(self, loose: np.ndarray) -> np.ndarray:
+        """Pairs (loose member, member) with a common one among their rarest differences."""
+        m, width = len(self.ids), np.array([len(x) for x in self.apart])
+        owner, grams = np.repeat(np.arange(m), width), np.concatenate(self.apart)
+        _, gram, times = np.unique(grams, return_inverse=True, return_counts=True)
+        order = np.lexsort((gram, times[gram], owner))
+        nth = np.arange(len(owner)) - np.repeat(np.cumsum(width) - width, width)
+        # A difference that no other member has takes a place but meets nobody.
+        sent = order[(nth <= self._most()[owner]) & (times[gram[order]] > 1)]
+        sent = sent[np.argsort(gram[sent], kind="stable")]
+        meet = np.zeros((m, m), bool)
+        for who in np.split(owner[sent], np.flatnonzero(np.diff(gram[sent])) + 1):
+            meet[np.ix_(who[loose[who]], who)] = True
+        meet[loose[:, None] & loose[None, :] & np.tri(m, dtype=bool)] = False  # of two loose members once
+        return np.argwhere(meet)
+
+    def links(self) -> list[tuple[int, int]]:
+        """Linked pairs that join what the members' links join."""
+        rule, sizes = self.rule, np.array(self.sizes, np.int64)
+        far = np.array([len(x) for x in self.apart], np.int64) * (rule.den + rule.num)
+        loose = far > (len(self.centre) + sizes) * (rule.den - rule.num)
+        self.loose = loose
+        out = [(self.key[0], self.ids[i]) for i in np.flatnonzero(~loose)]
+        if not loose.any() or len(loose) < 2:
+            return out
+        root = np.where(loose, np.arange(len(loose)), -1)
+        for x, y in self._meetings(loose):
+            if root[x] == root[y] or rule.den * min(sizes[x], sizes[y]) < rule.num * max(sizes[x], sizes[y]):
+                continue
+            most = rule.differ(int(sizes[x] + sizes[y]))
+            dx, dy = self.apart[x], self.apart[y]
+            if abs(len(dx) - len(dy)) <= most and len(np.setxor1d(dx, dy, assume_unique=True)) <= most:
+                out.append((self.ids[x], self.ids[y]))
+                root[root == root[x]] = root[y]
+        return out
+
+    def first_differences(self) -> Iterator[tuple[int, bool, np.ndarray]]:
+        for b, loose, apart, most in zip(self.ids, self.loose.tolist(), self.apart, self._most().tolist(), strict=True):
+            order = np.lexsort((apart, np.isin(apart, self.centre, assume_unique=True)))
+            yield b, loose, apart[order[: most + 1]].view(np.int64)
+
+
+def _compared(stars: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
+    """Links (a, b); and (a, b, part, loose, grams) of members of stars that are dealt to several tasks.
+
+    ``stars``: (a, b, n), n the size of b's set. Each centre a is sent once to each task that compares it with some of its b.
+    """
 
+    def record(links: list[tuple[int, int]], more: list[tuple[int, int, int, bool, np.ndarray]]) -> pa.RecordBatch:
+        none = [None] * len(links)
+        offsets = np.cumsum([0, *(len(x[4]) for x in more)])
+        grams = pa.ListArray.from_arrays(pa.array([*none, *offsets.tolist()], pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *(x[4] for x in more)])))
+        ends = [pa.array([x[i] for x in links] + [x[i] for x in more], pa.int64()) for i in (0, 1)]
+        rest = [pa.array(none + [x[i] for x in more], kind) for i, kind in ((2, pa.int32()), (3, pa.bool_()))]
+        return pa.RecordBatch.from_arrays([*ends, *rest, grams], ["a", "b", "part", "loose", "grams"])
 
-def _compared(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
-    """(a, b, n, linked, apart) of each pair; ``n``: the size of b's set; ``apart``: the n-grams that only one of them has.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        star: _Star | None = None
 
-    Each centre a is sent once to each task that compares it with some of its b.
-    """
+        def closed() -> pa.RecordBatch:
+            links = star.links() if star.ids else []
+            return record(links, [(star.key[0], b, star.key[1], loose, grams) for b, loose, grams in star.first_differences()] if star.ids and star.split else [])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, centre = None, None
         for batch in batches:
             keys = list(zip(batch.column("a").to_pylist(), batch.column("part").to_pylist(), strict=True))
-            ids = batch.column("b").to_pylist()
-            out: list[tuple[int, int, bool, np.ndarray, int]] = []
-            for start, part in common.slices(batch):
-                hashes, starts = ngrams(part, rule.words)
-                for i in range(len(part)):
+            ids, split = batch.column("b").to_pylist(), batch.column("split").to_pylist()
+            for start, some in common.slices(batch):
+                hashes, starts = ngrams(some, rule.words)
+                for i in range(len(some)):
                     own = hashes[starts[i] : starts[i + 1]]
-                    if keys[start + i] != group:  # a group's first row is its centre
-                        group, centre = keys[start + i], own
-                        continue
-                    apart = np.setxor1d(centre, own, assume_unique=True)
-                    total = len(centre) + len(own)
-                    linked = len(apart) * (rule.den + rule.num) <= total * (rule.den - rule.num)
-                    out.append((group[0], ids[start + i], linked, apart.view(np.int64), len(own)))
-            values = np.concatenate([np.zeros(0, np.int64), *(x[3] for x in out)])
-            offsets = np.cumsum([0, *(len(x[3]) for x in out)]).astype(np.int32)
-            columns = [pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[4] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.bool_()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))]
-            yield pa.RecordBatch.from_arrays(columns, ["a", "b", "n", "linked", "apart"])
-
-    sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(float(STAR_MEMBERS))).cast("int").alias("parts"))
-    members = pairs.join(sizes, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "b")
-    centres = sizes.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("a").alias("b"))
-    rows = members.withColumn("member", F.lit(1)).unionByName(centres.withColumn("member", F.lit(0)))
-    rows = rows.join(texts.select(F.col("doc_id").alias("b"), "text").hint("merge"), "b")
-    return rows.repartition("a", "part").sortWithinPartitions("a", "part", "member", "b").select("a", "part", "b", "text").mapInArrow(run, "a long, b long, n int, linked boolean, apart array<long>")
-
-
-def _labelled(reps: DataFrame, links: DataFrame, name: str) -> DataFrame:
-    """The rows of ``reps`` with the component of each rep; a rep without links is its own."""
-    parts = graph.components(links)
-    return reps.join(parts, reps["rep"] == parts["node"], "left").withColumn(name, F.coalesce("component", "rep")).drop("node", "component")
+                    if star is None or keys[start + i] != star.key:  # a group's first row is its centre
+                        if star is not None:
+                            yield closed()
+                        star = _Star(rule, keys[start + i], split[start + i], own.copy())
+                    else:
+                        star.add(ids[start + i], own)
+        if star is not None:
+            yield closed()
+
+    loads = stars.groupBy("a").agg(F.ceil(F.greatest(F.count("*") / F.lit(float(PART_ROWS)), F.sum("n") / F.lit(float(PART_GRAMS)))).cast("int").alias("parts"))
+    members = stars.join(loads, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "b", F.lit(1).alias("member"), (F.col("parts") > 1).alias("split"))
+    centres = loads.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("a").alias("b"), F.lit(0).alias("member"), (F.col("parts") > 1).alias("split"))
+    rows = members.unionByName(centres).join(texts.select(F.col("doc_id").alias("b"), "text").hint("merge"), "b")
+    rows = rows.repartition("a", "part").sortWithinPartitions("a", "part", "member", "b").select("a", "part", "b", "split", "text")
+    return rows.mapInArrow(run, "a long, b long, part int, loose boolean, grams array<long>")
+
+
+def _stars(held: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(a, b, n): in each bucket its most central member with every other one. ``held``: (key, rep, size), size that of the bucket."""
+    central = held.groupBy("rep").agg(F.sum("size").alias("company"))
+    most = F.max_by("rep", F.struct("company", F.bitwise_not("rep")))
+    centres = common.cut(held.select("key", "rep").join(central, "rep").groupBy("key").agg(most.alias("a")), "centres")
+    pairs = held.join(centres, "key").where("a != rep").select("a", F.col("rep").alias("b")).distinct()
+    stars = common.cut(pairs.join(sizes.select(F.col("doc_id").alias("b"), "n"), "b"), "stars")
+    common.drop(centres)
+    return stars
+
+
+def _buckets(rows: DataFrame, *more: Column) -> DataFrame:
+    """(key, rep, size) of the buckets that hold several reps and meet the other conditions. ``rows`` is written already."""
+    met = common.cut(rows.groupBy("key").agg(F.count("*").alias("size"), *(x.alias(f"c{i}") for i, x in enumerate(more))).where(" and ".join(["size > 1", *(f"c{i}" for i in range(len(more)))])).select("key", "size"), "shared")
+    held = common.cut(rows.select("key", "rep").join(met.hint("merge"), "key"), "buckets")
+    common.drop(met)
+    return held
+
+
+def _links(held: DataFrame, texts: DataFrame, sizes: DataFrame, rule: Rule) -> DataFrame:
+    """(a, b): links that join all that the buckets' members' links join."""
+    links = None
+    while True:
+        stars = _stars(held, sizes)
+        common.drop(held)
+        compared = common.cut(_compared(stars, texts, rule), "compared")
+        common.drop(stars)
+        own = compared.where("grams is null").select("a", "b")
+        links = own if links is None else links.unionByName(own)
+        dealt = compared.where("grams is not null")
+        if dealt.isEmpty():
+            return links
+        # What is not linked with its centre meets members of other tasks where both differ from the centre alike.
+        whole = graph.components(links)
+        open_ = dealt.groupBy("a").agg(F.max("loose").alias("loose")).where("loose").select("a")
+        rows = dealt.join(open_, "a", "left_semi").select("a", F.col("b").alias("rep"), "part", "loose", F.explode("grams").alias("gram"))
+        rows = rows.join(whole.select(F.col("node").alias("rep"), "component"), "rep", "left")
+        rows = common.cut(rows.select(F.xxhash64("a", "gram").alias("key"), "rep", "part", "loose", F.coalesce("component", "rep").alias("whole")), "differences")
+        held = _buckets(rows, F.max("loose"), F.min("part") != F.max("part"), F.min("whole") != F.max("whole"))
+        common.drop(rows)
+        if held.isEmpty():
+            return links
 
 
 def _grouped(one: DataFrame, rule: Rule) -> DataFrame:
     """doc_id, n_shingles, whole (its component) of every document. Each doc_id stands once and is not null."""
-    order = Window.partitionBy("key", "kind", "check").orderBy("doc_id")
-    met = _rows(one, rule).withColumns({"first": F.first("doc_id").over(order.rowsBetween(Window.unboundedPreceding, 0)), "next": F.lead("doc_id").over(order)})
-    met = common.cut(met.where((F.col("kind") != BLOCK) | (F.col("first") != F.col("doc_id")) | F.col("next").isNotNull()).select("key", "kind", "doc_id", "n", "first"), "buckets")
-    classes = met.where(F.col("kind") != BLOCK).select("doc_id", F.col("n").alias("n_shingles"), F.col("first").alias("rep"))
-
-    # Buckets of class representatives, each with its most central member.
-    copies = classes.where("rep != doc_id").select("doc_id", "rep")
-    held = met.where(F.col("kind") == BLOCK).join(copies, "doc_id", "left").select("key", F.coalesce("rep", "doc_id").alias("rep")).distinct()
-    company = held.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    held = common.cut(held.join(company, "key"), "members")
-    central = held.groupBy("rep").agg(F.sum("size").alias("company"))
-    held = held.select("key", "rep").join(central, "rep")
-    centre = held.groupBy("key").agg(F.max_by("rep", F.struct("company", F.bitwise_not("rep"))).alias("a"))
-    stars = held.join(centre, "key").where("a != rep").select("a", F.col("rep").alias("b")).distinct()
-    stars = common.cut(stars, "stars")
-    known = stars.select(F.col("b").alias("doc_id")).unionByName(stars.select(F.col("a").alias("doc_id"))).distinct()
-    texts = common.cut(_sketches(one.join(known.hint("merge"), "doc_id", "left_semi"), rule), "candidates")
-    compared = common.cut(_compared(stars, texts, rule), "compared")
-    links = compared.where("linked").select("a", "b")
-
-    # What is not linked with its centre meets other members where both differ from the centre alike.
-    open_stars = compared.groupBy("a").agg(F.count("*").alias("members"), F.bool_and("linked").alias("all")).where("members > 1 and not all").select("a")
-    differing = compared.join(open_stars, "a", "left_semi").select("a", "b", "n", "linked", F.explode("apart").alias("gram"))
-    often = differing.groupBy("a", "gram").agg(F.count("*").alias("times")).where("times > 1")
-    rarest = Window.partitionBy("a", "b").orderBy("times", "gram")
-    most = F.floor(F.col("n") * (rule.den - rule.num) / F.lit(rule.num))
-    # A difference that no other member has takes a place but meets nobody.
-    differing = differing.join(often, ["a", "gram"], "left").withColumn("nth", F.row_number().over(rarest))
-    differing = differing.where((F.col("nth") <= most + 1) & F.col("times").isNotNull()).select("a", "b", "linked", "gram")
-    loose = differing.where("not linked").select("a", "gram", F.col("b").alias("x"))
-    pairs = differing.join(loose, ["a", "gram"]).where("b != x").select(F.least("b", "x").alias("a"), F.greatest("b", "x").alias("b")).distinct()
-    parts = graph.components(links)
-    bits = [f"s{i}" for i in range(SKETCH_WORDS)]
-    about = texts.select("doc_id", F.struct(*bits).alias("sketch")).join(classes.select("doc_id", "n_shingles"), "doc_id").join(parts, F.col("doc_id") == F.col("node"), "left")
-    side = lambda c: about.select(F.col("doc_id").alias(c), F.struct("sketch", "n_shingles", F.coalesce("component", "doc_id").alias("part")).alias(f"of_{c}"))
-    pairs = pairs.join(side("a"), "a").join(side("b"), "b")
-    apart = sum((F.bit_count(F.col(f"of_a.sketch.{s}").bitwiseXOR(F.col(f"of_b.sketch.{s}"))) for s in bits), F.lit(0))
-    n, m = F.col("of_a.n_shingles"), F.col("of_b.n_shingles")
-    able = (F.col("of_a.part") != F.col("of_b.part")) & _close(n, m, rule) & (apart * (rule.den + rule.num) <= (n + m) * (rule.den - rule.num))
-    pairs = common.cut(pairs.where(able).select("a", "b"), "pairs")
-    more = common.cut(_compared(pairs, texts, rule).where("linked").select("a", "b"), "links")
-
-    return _labelled(classes, links.unionByName(more), "whole").select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), "whole")
+    sets = common.cut(_sets(one, rule), "sets")
+    some, same = sets.where("n > 0"), ["n", "s", "t"]
+    firsts = some.groupBy(*same).agg(F.min("doc_id").alias("rep"))
+    classes = some.join(firsts, same).select("doc_id", "n", "rep").unionByName(sets.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("rep")))
+    classes = common.cut(classes, "classes")
+    common.drop(sets)
+    reps = classes.where("n > 0 and doc_id = rep").select("doc_id", "n")
+    blocks = common.cut(_blocks(one.join(reps.select("doc_id").hint("merge"), "doc_id", "left_semi"), rule), "blocks")
+    held = _buckets(blocks)
+    common.drop(blocks)
+    parts = graph.components(_links(held, one, reps, rule))
+    whole = classes.join(parts, classes["rep"] == parts["node"], "left")
+    return whole.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("whole"))
 
 
 def clusters(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import itertools
+import random
 import re
 import zlib
 
@@ -201,6 +202,30 @@ def test_jaccard_of_rows_without_id_or_with_a_repeated_one(spark):
     assert left in ({1, 2, 8, 9, 10, x} for x in (5, 6))
 
 
+@pytest.mark.parametrize("limit", [3, 1000])
+def test_jaccard_of_families_dealt_to_several_tasks(spark, monkeypatch, limit):
+    """Three families around a text each, many not linked with their centre; a star may have ``limit`` members a task."""
+    monkeypatch.setattr(jaccard, "PART_ROWS", limit)
+    rng, rows = random.Random(11), []
+    common_part = [f"c{i}" for i in range(120)]
+    for family in range(3):
+        base = common_part + [f"f{family}w{i}" for i in range(60)]
+        for variant in range(4):
+            words = list(base)
+            for at in rng.sample(range(len(words)), 4):
+                words[at] = f"v{family}.{variant}.{at}"
+            for _ in range(8):
+                own = list(words)
+                for at in rng.sample(range(len(own)), rng.randint(0, 3)):
+                    own[at] = rng.choice(["x", "y", f"z{at}"])
+                rows.append((len(rows), " ".join(own)))
+    sets = {i: shingles(t, 3) for i, t in rows}
+    whole = components(sets, 90, 100)
+    assert 3 < len(set(whole.values())) < len(rows)
+    got = by_id(jaccard.clusters(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90, 100))
+    assert {i: r.component_id for i, r in got.items()} == whole
+
+
 def test_sketch_blocks_of_linked_sets_meet():
     rule, rng = jaccard.Rule(5, 80, 100), np.random.default_rng(3)
     for size in (3, 8, 20, 57, 300, 1500):
