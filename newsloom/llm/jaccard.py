@@ -88,25 +88,29 @@ def _edges() -> list[int]:
     return out
 
 
+def _hash_of(words: list[bytes]) -> int:
+    """Of a text too short for an n-gram; no window has a hash like it."""
+    return int(common.word_hashes([b"\x00" + b" ".join(words)])[0])
+
+
 def ngrams(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct n-gram hashes of all texts, ascending within each text, and where each text's begin."""
     words, starts = common.split_words(texts, common.LOWER)
-    counts = np.diff(starts)
-    doc, hashes = np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    if len(words):
-        h = common.word_hashes(words)
-        p = np.flatnonzero(common.inside(starts, size)) if len(h) >= size else np.zeros(0, np.int64)
-        doc, hashes = common.doc_of(starts)[p], common.window_hashes(h, size)[p]
-        short = np.flatnonzero((counts > 0) & (counts < size))
-        if len(short):
-            whole = np.array([common.word_hashes([b"\x00" + b" ".join(words[starts[i] : starts[i + 1]])])[0] for i in short], np.uint64)
-            doc, hashes = np.concatenate([doc, short]), np.concatenate([hashes, whole])
-        order = np.lexsort((hashes, doc))
-        doc, hashes = doc[order], hashes[order]
-        fresh = np.ones(len(doc), bool)
-        fresh[1:] = (doc[1:] != doc[:-1]) | (hashes[1:] != hashes[:-1])
-        doc, hashes = doc[fresh], hashes[fresh]
-    return hashes, np.searchsorted(doc, np.arange(len(texts) + 1))
+    counts, h = np.diff(starts), common.word_hashes(words)
+    width = np.maximum(counts - size + 1, 0)
+    at = np.concatenate([np.zeros(1, np.int64), np.cumsum(width)])
+    hashes = common.window_hashes(h, size)[common.inside(starts, size)]
+    for i in np.flatnonzero(width > 1):
+        hashes[at[i] : at[i + 1]].sort()
+    short = np.flatnonzero((counts > 0) & (counts < size))
+    whole = [_hash_of(words[starts[i] : starts[i + 1]]) for i in short]
+    hashes = np.insert(hashes, at[short], np.array(whole, np.uint64))
+    width[short] = 1
+    at = np.concatenate([np.zeros(1, np.int64), np.cumsum(width)])
+    fresh = np.ones(len(hashes), bool)
+    fresh[1:] = hashes[1:] != hashes[:-1]
+    fresh[at[:-1][width > 0]] = True
+    return hashes[fresh], np.concatenate([np.zeros(1, np.int64), np.cumsum(fresh)])[at]
 
 
 def _popcount(x: np.ndarray) -> np.ndarray:
