@@ -11,20 +11,26 @@ In a document that holds e, terms whose share reaches ``DISCLOSURE`` are general
 which e is as frequent as anywhere stand against chance: few documents tell less than many, but no number of them is
 too small to decide.
 
-Null text is empty. An empty table gives no rows. Rows are treated each for itself; repeated rows count as
-often as they stand. Extra columns are kept by ``sanitise`` and ignored by ``report``.
+A term is a run of three letters or more that touches no base span. The work runs the same way at every size: texts that hold
+entities (few, found by a pattern that no base span escapes) are gathered with their terms, equal texts once; one pass over
+all texts counts the documents of these terms, which a bit field of fixed size picks out; pairs are made of terms
+rare enough to tell something, counted before they move; and what a text may not say comes back by its 64-bit hash, as equal texts have
+the same entities.
+
+Null text is empty. An empty table gives no rows. Rows are treated each for itself, whatever their doc_id (null and repeated ones
+included); repeated rows count as often as they stand. Extra columns are kept by ``sanitise`` and ignored by ``report``.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -32,19 +38,19 @@ from . import common
 KINDS = ("email", "ip", "card", "phone")
 PRIOR = 1.0
 DISCLOSURE = 0.8
-#: Candidate terms, and disclosing pairs, are broadcast up to this number; beyond it they are joined.
-BROADCAST_ROWS = 300_000
-#: Terms with so many entities that can disclose none of them are dropped by a broadcast, before pairs are dealt out by term.
-COMMON_PAIRS = 1000
+#: Bits of the field that marks the terms to count (4 MB). Terms that share a bit are counted too, and left out by the join that follows.
+FIELD_BITS = 1 << 25
+#: Terms that one task counts before it hands them on.
+COUNTED_TERMS = 400_000
 
 _domain = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _local = re.compile(r"[A-Za-z0-9._%+-]+\Z")
-_ip = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+_ip = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _card = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _phone = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _word = re.compile(r"[^\W\d_]{3,}")
-#: Every text with a base span matches this; few others do.
-_MAYBE = r"@[A-Za-z0-9-]|\+[0-9]|[0-9]\.[0-9]+\.[0-9]+\.[0-9]|[0-9]([\x20-]?[0-9]){13}"
+#: Every text with a base span has an @ or matches this; few others do.
+_MAYBE = r"[0-9][\x20().0-9-]{5,}[0-9]"
 _NOT_DIGITS = bytes(c for c in range(256) if not 0x30 <= c <= 0x39)
 
 Span = tuple[int, int, str]
@@ -103,94 +109,126 @@ def _entity(text: str, span: Span) -> int:
     return _key(f"{span[2]}:{text[span[0] : span[1]].lower()}")
 
 
-def _free(text: str, spans: list[Span], begin: int, end: int) -> Iterator[re.Match]:
-    """Words between ``begin`` and ``end`` that touch no span."""
-    for m in _word.finditer(text, begin, end):
-        if not any(s < m.end() and m.start() < e for s, e, _ in spans):
+def _free(text: str, spans: list[Span]) -> Iterator[re.Match]:
+    """Words that touch no span. ``spans`` ascend by start."""
+    i, end = 0, -1  # the spans before i begin left of the word; the furthest of them ends at ``end``
+    for m in _word.finditer(text):
+        while i < len(spans) and spans[i][0] < m.end():
+            end = max(end, spans[i][1])
+            i += 1
+        if end <= m.start():
             yield m
 
 
-def _pairs(docs: DataFrame) -> DataFrame:
-    """(entity, term, n documents); the term 0 stands for the entity alone."""
+def _maybe() -> Column:
+    return F.coalesce(F.contains("text", F.lit("@")) | F.col("text").rlike(_MAYBE), F.lit(False))
+
+
+def _holding(docs: DataFrame) -> DataFrame:
+    """(key, n, entities, terms): each text with an entity once, and the number of rows that have it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, texts in common.slices(batch):
-                found: dict[tuple[int, int], int] = {}
-                for raw in texts:
-                    if spans := base_spans(raw):
-                        text, mine = raw.decode("utf-8", "replace"), set()
-                        terms = {_key(w) for w in {m[0].lower() for m in _free(text, spans, 0, len(text))}}
-                        for span in spans:
-                            e = _entity(text, span)
-                            if (e, 0) not in mine:
-                                mine.add((e, 0))
-                                mine.update((e, t) for t in terms)
-                        for pair in mine:
-                            found[pair] = found.get(pair, 0) + 1
-                yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64()), pa.array(list(found.values()), pa.int64())], ["entity", "term", "n"])
-
-    return docs.select("text").mapInArrow(run, "entity long, term long, n long").groupBy("entity", "term").agg(F.sum("n").alias("n"))
-
-
-def _document_counts(docs: DataFrame, terms: DataFrame, limit: int) -> DataFrame:
-    """(term, df) for the given terms over all documents."""
-    found = {r.term for r in terms.limit(limit + 1).collect()}
-    held = docs.sparkSession.sparkContext.broadcast(found) if len(found) <= limit else None
+            keys = batch.column("key").to_pylist()
+            rows: dict[int, list] = {}
+            for start, texts in common.slices(batch):
+                for key, raw in zip(keys[start:], texts, strict=False):
+                    if key in rows:
+                        rows[key][0] += 1
+                    elif spans := base_spans(raw):
+                        text = raw.decode("utf-8", "replace")
+                        words = {m[0].lower() for m in _free(text, spans)}
+                        rows[key] = [1, list({_entity(text, x) for x in spans}), [_key(w) for w in words]]
+            lists = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.int64()), *(pa.array([x[i] for x in rows.values()], kind) for i, kind in enumerate((pa.int64(), lists, lists)))], ["key", "n", "entities", "terms"])
+
+    found = docs.where(_maybe()).select(F.xxhash64("text").alias("key"), "text").mapInArrow(run, "key long, n long, entities array<long>, terms array<long>")
+    return found.groupBy("key").agg(F.sum("n").alias("n"), F.first("entities").alias("entities"), F.first("terms").alias("terms"))
+
+
+def _field(terms: DataFrame) -> bytes:
+    """Bits of the terms; at most FIELD_BITS / 64 rows come to the driver."""
+    at = F.col("term").bitwiseAND(FIELD_BITS - 1)
+    words = terms.groupBy(F.shiftright(at, 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(term & 63 AS INT))")).alias("bits")).toArrow()
+    field = np.zeros(FIELD_BITS // 64, np.int64)
+    field[words["at"].to_numpy()] = words["bits"].to_numpy()
+    return field.astype("<i8").tobytes()
+
+
+def _document_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """(term, df) over all documents for the given terms, and for some more."""
+    field = docs.sparkSession.sparkContext.broadcast(_field(terms))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = held.value if held else None
-        keys: dict[bytes, int] = {}
+        wanted, keys, counts = field.value, {}, {}
+
+        def counted() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())], ["term", "n"])
+
         for batch in batches:
             for _, texts in common.slices(batch):
-                counts: dict[int, int] = {}
                 for raw in texts:
                     mine = set()
                     for chunk in set(raw.split()):
                         own = keys.get(chunk)
                         if own is None:
                             words = [_key(w.lower()) for w in _word.findall(chunk.decode("utf-8", "replace"))]
-                            own = tuple(k for k in words if wanted is None or k in wanted)
+                            own = tuple(k for k in words if wanted[(k & (FIELD_BITS - 1)) >> 3] >> (k & 7) & 1)
                             if len(keys) > common.WORD_CACHE:
                                 keys.clear()
-                            keys[chunk] = own
+                            if len(chunk) <= 64:
+                                keys[chunk] = own
                         mine.update(own)
                     for k in mine:
                         counts[k] = counts.get(k, 0) + 1
-                yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())], ["term", "n"])
+                if len(counts) > COUNTED_TERMS:
+                    yield counted()
+                    counts = {}
+        yield counted()
 
-    counted = docs.select("text").mapInArrow(run, "term long, n long")
-    if held is None:
-        counted = counted.join(terms, "term", "left_semi")
-    return counted.groupBy("term").agg(F.sum("n").alias("df"))
+    return docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("df"))
 
 
-def disclosing(docs: DataFrame, share: float = DISCLOSURE, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """(entity, term): terms that tell too much about an entity."""
+def _told(docs: DataFrame, share: float = DISCLOSURE) -> DataFrame:
+    """(key, entity, term) for the texts that hold an entity and a term that tells too much about it."""
     common.ship(docs.sparkSession)
-    pairs = common.cut(_pairs(docs), "entity-terms")
-    total = F.lit(float(docs.count()))
-    alone = pairs.where("term = 0").select("entity", F.col("n").alias("n_entity"))
-    # The share reaches its limit up to a document frequency that the pair alone gives. An entity that stands in every document has nothing to tell.
-    chance = F.col("n_entity") / total
-    most = (F.col("n") + PRIOR * chance) / F.pow(chance, F.lit(1 - share)) - PRIOR
-    near = common.cut(pairs.where("term != 0").join(alone, "entity").where(F.col("n_entity") < total).select("entity", "term", most.alias("most")).where("most >= 1"), "entity-reach")
-    terms = near.groupBy("term").agg(F.max("most").alias("most"), F.count("*").alias("pairs"))
-    counts = _document_counts(docs, terms.select("term"), limit)
-    terms = common.cut(terms.join(counts, "term"), "entity-counts")
-    telling = terms.where("df <= most").select("term", "df")
-    vain = terms.where(F.col("pairs") >= COMMON_PAIRS).where("df > most").select("term")
-    return near.join(F.broadcast(vain), "term", "left_anti").join(telling, "term").where("df <= most").select("entity", "term")
-
-
-def all_spans(raw: bytes, told: dict[int, list[int]] | list[int]) -> tuple[list[Span], list[Span], str]:
-    """(base spans, all spans, text). ``told``: terms by entity, or the terms of this document."""
+    held, total = common.cut(_holding(docs), "holding"), F.lit(float(docs.count()))
+
+    def most(n: Column) -> Column:
+        # The share reaches its limit up to a document frequency that the pair alone gives.
+        chance = F.col("n_entity") / total
+        return (n + PRIOR * chance) / F.pow(chance, F.lit(1 - share)) - PRIOR
+
+    entities = held.select("key", "n", F.explode("entities").alias("entity"))
+    alone = entities.groupBy("entity").agg(F.sum("n").alias("n_entity"))
+    # An entity that stands in every document has nothing to tell.
+    entities = entities.join(alone, "entity").where(F.col("n_entity") < total)
+    entities = common.cut(entities.select("key", "entity", "n_entity"), "entities")
+    reach = entities.groupBy("key").agg(F.max(most(F.col("n_entity"))).alias("reach"))
+    terms = held.select("key", "n", F.explode("terms").alias("term"))
+    counts = common.cut(_document_counts(docs, terms), "term-counts")
+    rare = common.cut(terms.join(counts, "term").join(reach, "key").where("df <= reach").select("key", "n", "term", "df"), "rare-terms")
+    common.drop(counts, held)
+    pairs = rare.join(entities, "key")
+    telling = pairs.groupBy("entity", "term", "n_entity", "df").agg(F.sum("n").alias("n")).where(F.col("df") <= most(F.col("n"))).select("entity", "term")
+    told = common.cut(pairs.select("key", "entity", "term").join(telling, ["entity", "term"]), "telling")
+    common.drop(rare, entities)
+    return told
+
+
+def disclosing(docs: DataFrame, share: float = DISCLOSURE) -> DataFrame:
+    """(entity, term): terms that tell too much about an entity."""
+    return _told(docs, share).select("entity", "term").distinct()
+
+
+def all_spans(raw: bytes, terms: Iterable[int]) -> tuple[list[Span], list[Span], str]:
+    """(base spans, all spans, text). ``terms``: those that this document may not say."""
     base = base_spans(raw)
     text = raw.decode("utf-8", "replace") if base else ""
-    if not base or not told:
+    if not base or not terms:
         return base, base, text
-    terms = {t for span in base for t in told.get(_entity(text, span), ())} if isinstance(told, dict) else set(told)
-    more = [(m.start(), m.end(), "term") for m in _free(text, base, 0, len(text)) if _key(m[0].lower()) in terms] if terms else []
+    told = set(terms)
+    more = [(m.start(), m.end(), "term") for m in _free(text, base) if _key(m[0].lower()) in told]
     rank = (*KINDS, "term")
     return base, sorted(base + more, key=lambda s: (s[0], rank.index(s[2]), s[1])), text
 
@@ -211,67 +249,51 @@ def _joined(spans: list[Span]) -> str:
     return ",".join(f"{kind}:{begin}:{end}" for begin, end, kind in spans)
 
 
-def _told(docs: DataFrame, limit: int):
-    """Disclosing terms: by entity, broadcast, or (beyond ``limit`` pairs) joined to the documents as a column."""
-    pairs = disclosing(docs, limit=limit)
-    few = pairs.limit(limit + 1).collect()
-    if len(few) <= limit:
-        by: dict[int, list[int]] = {}
-        for row in few:
-            by.setdefault(row.entity, []).append(row.term)
-        return docs.sparkSession.sparkContext.broadcast(by), docs
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column("_text").to_pylist()
-            for start, texts in common.slices(batch):
-                rows = {(ids[i], e) for i, raw in enumerate(texts, start) if (spans := base_spans(raw)) for text in [raw.decode("utf-8", "replace")] for e in {_entity(text, s) for s in spans}}
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], ["_text", "entity"])
-
-    # A text is known by its hash: equal texts have the same entities and so the same terms, whatever their ids. Only texts that may hold an entity move.
-    maybe, key = F.coalesce(F.col("text").rlike(_MAYBE), F.lit(False)), F.xxhash64("text").alias("_text")
-    held = docs.where(maybe).select(key, "text").mapInArrow(run, "_text long, entity long").distinct()
-    terms = held.join(pairs, "entity").groupBy("_text").agg(F.collect_set("term").alias("_terms"))
-    joined = docs.where(maybe).withColumn("_text", key).join(terms, "_text", "left").select(*docs.columns, "_terms")
-    return None, joined.unionByName(docs.where(~maybe).withColumn("_terms", F.lit(None).cast("array<long>")))
+def _parts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows that may hold base spans, with what they may not say in ``_terms``; and the others."""
+    terms = _told(docs).groupBy(F.col("key").alias("_text")).agg(F.collect_set("term").alias("_terms"))
+    maybe = docs.where(_maybe()).withColumn("_text", F.xxhash64("text"))
+    return maybe.join(terms, "_text", "left").select(*docs.columns, "_terms"), docs.where(~_maybe())
 
 
-def report(docs: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+def report(docs: DataFrame) -> DataFrame:
     """Counts and spans for every row."""
-    held, rows = _told(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), limit)
+    maybe, others = _parts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     columns = ("n_email", "n_ip", "n_card", "n_phone")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = None if held else batch.column("_terms").to_pylist()
+            own = batch.column("_terms").to_pylist()
             for start, texts in common.slices(batch):
-                found = [all_spans(raw, held.value if held else own[i] or []) for i, raw in enumerate(texts, start)]
+                found = [all_spans(raw, own[i] or ()) for i, raw in enumerate(texts, start)]
                 counts = [pa.array([sum(s[2] == kind for s in base) for base, _, _ in found], pa.int64()) for kind in KINDS]
                 digest = pa.array([hashlib.sha256(_joined(base).encode()).hexdigest() for base, _, _ in found], pa.string())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(start, len(texts)), *counts, digest, pa.array([_joined(x) for _, x, _ in found], pa.string())], ["doc_id", *columns, "base_sha256", "spans"])
 
-    return rows.mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in columns) + ", base_sha256 string, spans string")
+    some = maybe.mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in columns) + ", base_sha256 string, spans string")
+    none = hashlib.sha256(b"").hexdigest()
+    return some.unionByName(others.select("doc_id", *(F.lit(0).cast("long").alias(c) for c in columns), F.lit(none).alias("base_sha256"), F.lit("").alias("spans")))
 
 
-def sanitise(docs: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+def sanitise(docs: DataFrame) -> DataFrame:
     """All rows and columns, with the spans of ``text`` replaced. ``n_chars``, where there is one, follows."""
-    held, rows = _told(docs, limit)
+    maybe, others = _parts(docs)
     text_at = docs.columns.index("text")
     schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = None if held else batch.column("_terms").to_pylist()
+            own = batch.column("_terms").to_pylist()
             old, new = batch.column("text"), []
             for start, texts in common.slices(batch):
                 for i, raw in enumerate(texts, start):
-                    _, spans, text = all_spans(raw, held.value if held else own[i] or [])
+                    _, spans, text = all_spans(raw, own[i] or ())
                     new.append(replaced(text, spans) if spans else old[i].as_py())
             columns = [batch.column(i) for i in range(len(schema))]
             columns[text_at] = pa.array(new, old.type)
             yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-    out = rows.mapInArrow(run, schema)
+    out = maybe.mapInArrow(run, schema).unionByName(others)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast(schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out

@@ -317,14 +317,13 @@ def test_sanitise(spark, nothing, docs):
     secret = [(i, f"zorp quux{i} mail boss@corp.example about flim{i} the the") for i in range(8)]
     plain = [(100 + i, f"the plain words number{i} the mail about zorps") for i in range(200)]
     table = spark.createDataFrame([*secret, *plain, (999, None)], "doc_id long, text string").withColumn("n_chars", F.length("text"))
-    for limit in (sanitise.BROADCAST_ROWS, 0):
-        got = by_id(sanitise.report(table, limit=limit))
-        assert got[0].spans.split(",")[0] == "term:0:4" and got[0].n_email == 1
-        assert got[0].base_sha256 == hashlib.sha256(b"email:16:33").hexdigest() or "email:" in got[0].spans
-        assert all(got[100 + i].spans == "" for i in range(200)) and got[999].spans == ""
-        clean = by_id(sanitise.sanitise(table, limit=limit))
-        assert "boss@corp.example" not in clean[0].text and "[EMAIL]" in clean[0].text and "zorp " not in clean[0].text
-        assert clean[0].n_chars == len(clean[0].text) and clean[999].text is None and clean[100].text == plain[0][1]
+    got = by_id(sanitise.report(table))
+    assert got[0].spans.split(",")[0] == "term:0:4" and got[0].n_email == 1
+    assert got[0].base_sha256 == hashlib.sha256(b"email:16:33").hexdigest()
+    assert all(got[100 + i].spans == "" for i in range(200)) and got[999].spans == ""
+    clean = by_id(sanitise.sanitise(table))
+    assert "boss@corp.example" not in clean[0].text and "[EMAIL]" in clean[0].text and "zorp " not in clean[0].text
+    assert clean[0].n_chars == len(clean[0].text) and clean[999].text is None and clean[100].text == plain[0][1]
     assert sanitise.report(nothing).count() == 0
     assert sanitise.sanitise(docs).columns == docs.columns
 
@@ -335,27 +334,68 @@ def test_sanitise_of_entities_in_few_documents(spark):
     few = [(0, f"Xaverius {middle} mail once@corp.example"), (1, f"Yolandette {middle} mail pair@corp.example"), (2, f"Yolandette {middle} mail pair@corp.example")]
     plain = [(100 + i, f"Wilhelm {middle} mail number{chr(97 + i % 26)}{chr(97 + i // 26)}") for i in range(400)]
     table = spark.createDataFrame([*few, *plain], "doc_id long, text string")
-    for limit in (sanitise.BROADCAST_ROWS, 0):
-        got = by_id(sanitise.report(table, limit=limit))
-        assert [got[i].spans.split(",")[0] for i in range(3)] == ["term:0:8", "term:0:10", "term:0:10"]
-        assert all(got[i].spans.count(",") == 1 for i in range(3)) and not any(got[100 + i].spans for i in range(400))
+    got = by_id(sanitise.report(table))
+    assert [got[i].spans.split(",")[0] for i in range(3)] == ["term:0:8", "term:0:10", "term:0:10"]
+    assert all(got[i].spans.count(",") == 1 for i in range(3)) and not any(got[100 + i].spans for i in range(400))
 
 
 def test_sanitise_of_rows_with_one_id(spark):
-    """On the joined path too, a row has the terms of its own entities alone, not those of other rows with its id."""
+    """A row has the terms of its own entities alone, not those of other rows with its id."""
     rows = [*[(None, "Xaverius wrote from once@corp.example")] * 3, (None, "Xaverius wrote from pair@corp.example")]
     rows += [*((1000 + i, "wrote from pair@corp.example") for i in range(39)), *((i, "wrote from") for i in range(410))]
     table = spark.createDataFrame(rows, "doc_id long, text string")
-    for limit in (sanitise.BROADCAST_ROWS, 0):
-        got = sorted(r.text for r in sanitise.sanitise(table, limit=limit).where("doc_id is null").collect())
-        assert got == ["Xaverius wrote from [EMAIL]", *["[TERM] wrote from [EMAIL]"] * 3]
+    got = sorted(r.text for r in sanitise.sanitise(table).where("doc_id is null").collect())
+    assert got == ["Xaverius wrote from [EMAIL]", *["[TERM] wrote from [EMAIL]"] * 3]
 
 
 def test_maybe_misses_no_base_span(texts):
     rng = np.random.default_rng(6)
     parts = ["a", "b.c", "@", "x.com", "-", ".", "10", "1.2.3.4", "255", "4111111111111111", " ", "+", "(555)", "é"]
     for t in [t or "" for t in texts] + ["".join(rng.choice(parts, rng.integers(1, 12))) for _ in range(4000)]:
-        assert not sanitise.base_spans(t.encode()) or re.search(sanitise._MAYBE, t), t
+        assert not sanitise.base_spans(t.encode()) or "@" in t or re.search(sanitise._MAYBE, t), t
+
+
+def test_sanitise_against_plain_counts(spark, texts):
+    """Entities in one to many documents, words from rare to common, repeated rows; every figure anew from the docstring."""
+    rng = random.Random(3)
+    rows = [(i, t) for i, t in enumerate(texts[:90])]
+    for i in range(700):
+        words = [f"word{chr(97 + int(rng.expovariate(0.08)) % 26)}{chr(97 + rng.randrange(26) % 7)}" for _ in range(25)]
+        if rng.random() < 0.4:
+            e = int(rng.expovariate(0.1))
+            words.insert(rng.randrange(25), f"who{e}@corp.example")
+            words.insert(rng.randrange(25), f"Holder{'xyz'[e % 3]}{'abcdefgh'[e % 8]}")
+        if rng.random() < 0.05:
+            words.append("+1 (375) 555-4393, +1.2.3.4.5.6.7.8.9.0 a@b.co")
+        rows.append((1000 + i, " ".join(words)))
+    rows += [(rng.choice([None, 5000]), rng.choice(rows)[1]) for _ in range(60)]
+    held, free, df, n_e, n_et = [], [], collections.Counter(), collections.Counter(), collections.Counter()
+    for _, t in rows:
+        t = t or ""
+        spans = plain_spans(t)
+        words = {m[0].lower() for m in re.finditer(r"[^\W\d_]{3,}", t)}
+        mine = {(kind, t[s:e].lower()) for s, e, kind in spans}
+        loose = [m for m in re.finditer(r"[^\W\d_]{3,}", t) if not any(s < m.end() and m.start() < e for s, e, _ in spans)]
+        held.append(mine)
+        free.append(loose)
+        df.update(words)
+        n_e.update(mine)
+        n_et.update((e, w) for e in mine for w in {m[0].lower() for m in loose})
+    total, expected, added = len(rows), [], 0
+    for (_, t), mine, loose in zip(rows, held, free, strict=True):
+        told = {w for e in mine for w in {m[0].lower() for m in loose} if n_e[e] < total and 1 - np.log((df[w] + 1) / (n_et[e, w] + n_e[e] / total)) / np.log(total / n_e[e]) >= 0.8}
+        spans = [(s, sanitise.KINDS.index(kind), e, kind) for s, e, kind in plain_spans(t or "")]
+        more = [(m.start(), 9, m.end(), "term") for m in loose if m[0].lower() in told]
+        added += len(more)
+        expected.append(",".join(f"{kind}:{s}:{e}" for s, _, e, kind in sorted(spans + more)))
+    assert 50 < added < sum(map(len, free)) / 4
+    got = sanitise.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), r.spans) for r in got) == sorted((str(i), x) for (i, _), x in zip(rows, expected, strict=True))
+
+
+def test_long_digit_runs_take_no_square_time():
+    run = b"1" * 300_000
+    assert sanitise.base_spans(run) == [] and sanitise.base_spans(run + b".2.3.4 10.0.0.1")[0][2] == "ip"
 
 
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
