@@ -5,14 +5,17 @@ sketch, and the Hamming distance of two sketches is at most the symmetric differ
 of sizes a and b that reach the similarity J differ in at most D = (a + b)(1 - J) / (1 + J) members.
 
 Pigeonhole: in a size band whose largest set is M the sketch has D(M) + 1 + E blocks, so two linked sets
-agree in at least 1 + E blocks. Blocks of few bits ("light") are shared by chance; a document with at most E
-of them leaves them out, one with more sends all. If one of two linked documents leaves them out, at
-most E of the blocks they agree in are light, so one is left; if neither does, none is missing. A document
-takes part in its own band and, if it can link with a member of it, in the next one.
-
-Join: equal sets become one class first, counted before they move; only the first row of a class sends blocks.
-Blocks that a single class sends are dropped by a count that combines before the exchange. In each bucket the most central
-member (that with most company in all its buckets) is compared with every other one. What is linked with it joins
+agree in at least 1 + E blocks. Few n-grams fall into a block, so a block by itself is often shared by chance; therefore
+documents are joined on twos of blocks. The blocks of a band are dealt to C classes by their hashes, and of C + 1 blocks in which
+two sets agree two are of one class. So each document may leave out E - C blocks, if it does so by an order common to all. The
+order is: blocks of few bits ("light"; as long as E - C are enough for them, they are not even sent), then the blocks that most
+documents send. Blocks that a single document sends are dropped before, and whoever has no C + 1 blocks then is linked with
+nobody. E and C are shares of D, so a document has some multiple of D twos. It takes part in its own band and, if it
+can link with a member of it, in the next one; only buckets that are in some document's own band count.
+
+Join: equal sets become one class first, counted before they move; only the first row of each sends blocks.
+Buckets of at most ``SMALL`` members give pairs of sets of able sizes. In each larger bucket
+the most central member (that with most company in all of them) is compared with every other one. What is linked with it joins
 its component. Let x be a member that is not, and y any other: if x and y link, they share a member of
 their differences from the centre. (Otherwise they would differ in |dx| + |dy| members, where |dx| is over
 (n_x + n_c) d and |dy| is at least |n_y - n_c|, so in more than (n_x + n_y) d, d = (1 - J) / (1 + J).) So the other
@@ -22,7 +25,7 @@ on the spot: x and y differ where just one of dx and dy has a member. A star too
 each with the centre; where some of its members are not linked with it, the first D + 1 differences
 of each (what the centre lacks first) are the keys of new buckets, which go the same way. Their members agree in one
 more n-gram, so this ends. Buckets whose members are all of one component or one task are left out. No link between
-different texts is lost, and neither the copies in a group nor its stragglers are paired with each other. Verification
+different texts is lost, and neither the copies in a large group nor its stragglers are paired with each other. Verification
 counts shared n-grams exactly.
 
 n-grams: lower-cased (A-Z) words between ASCII white space; a text of fewer words is one n-gram; without words
@@ -38,7 +41,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common, graph
@@ -47,6 +50,8 @@ from . import common, graph
 BLOCK_BITS = 128
 #: Each band ends half as large again as it begins.
 BAND_RATIO = 1.5
+#: Buckets up to this size give pairs, larger ones stars.
+SMALL = 32
 #: Members, and n-grams of them, that one task compares with a centre; a larger star is dealt to several tasks with a copy of the centre each.
 PART_ROWS, PART_GRAMS = 1000, 1 << 21
 
@@ -62,7 +67,7 @@ class Rule:
         self.words, self.num, self.den = words, num, den
         # Few n-grams fall into each block of a looser similarity, so there only empty blocks count as light.
         self.light = 1 if num / den >= 0.88 else 0
-        self.spare = 0.06 if num / den >= 0.88 else 0.12
+        self.spare = 0.3 if num / den >= 0.88 else 0.4
 
     def differ(self, total: int) -> int:
         """Most members in which linked sets of ``total`` members together can differ."""
@@ -73,11 +78,22 @@ class Rule:
         edges = _edges()
         return edges[t], edges[t + 1] - 1
 
-    def shape(self, t: int) -> tuple[int, int]:
-        """(blocks, spare blocks) of band ``t``; no blocks where linked sets must be equal."""
+    def shape(self, t: int) -> tuple[int, int, int]:
+        """(blocks, spare blocks, classes) of band ``t``; no blocks where linked sets must be equal."""
         d = self.differ(2 * self.band(t)[1])
         spare = int(np.ceil(self.spare * (d + 1)))
-        return (d + 1 + spare, spare) if d else (0, 0)
+        return (d + 1 + spare, spare, max(1, spare // 3)) if d else (0, 0, 0)
+
+
+    def classes(self, n: np.ndarray) -> np.ndarray:
+        """Of sets of these sizes the number of classes in their own band, and in the next one."""
+        band = _bands(n)
+        known = np.array([self.shape(t)[2] for t in range(int(band.max(initial=0)) + 2)], np.int64)
+        return np.stack([known[band], known[band + 1]])
+
+
+def _bands(n: np.ndarray) -> np.ndarray:
+    return np.maximum(np.searchsorted(_edges(), n, "right") - 1, 0)
 
 
 @functools.cache
@@ -117,15 +133,17 @@ def _popcount(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x).astype(np.int64)
 
 
-def _key(block: np.ndarray, t: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    return common.mix(common.mix(low + block.astype(_u) * _u(0x9E3779B97F4A7C15)) ^ common.mix(high + (t.astype(_u) << _u(40))))
+def _key(block: np.ndarray, t: np.ndarray, low: np.ndarray, high: np.ndarray, light: np.ndarray) -> np.ndarray:
+    """Bit 0 tells the two bands of a text apart, bit 1 is set for light blocks."""
+    whole = common.mix(common.mix(low + block.astype(_u) * _u(0x9E3779B97F4A7C15)) ^ common.mix(high + (t.astype(_u) << _u(40))))
+    return whole & ~_u(3) | (t & 1).astype(_u) | light.astype(_u) << _u(1)
 
 
-def block_keys(hashes: np.ndarray, starts: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, key) of the sketch blocks that each text sends."""
+def block_keys(hashes: np.ndarray, starts: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, key, spare, own) of the sketch blocks that each text sends: whether in its own band, and how many of its blocks there it may still leave out."""
     n = np.diff(starts)
-    band = np.maximum(np.searchsorted(_edges(), n, "right") - 1, 0)
-    docs, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    band = _bands(n)
+    docs, keys, left, home = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
     shapes = {t: rule.shape(t) for t in range(int(band.max(initial=0)) + 2)}
     for step in (0, 1):
         t = band + step
@@ -153,17 +171,23 @@ def block_keys(hashes: np.ndarray, starts: np.ndarray, rule: Rule) -> tuple[np.n
         owner, number = row[heads], block[heads]
         heavy = _popcount(low) + _popcount(high) > rule.light
         light = total - np.bincount(owner[heavy], minlength=len(chosen))
+        spare = spare - np.array([shapes[x][2] for x in t[chosen]], np.int64)
         sends_all = light > spare
+        spare = np.where(sends_all, spare, spare - light)
         sent = heavy | sends_all[owner]
         docs.append(chosen[owner[sent]])
-        keys.append(_key(number[sent], t[chosen][owner[sent]], low[sent], high[sent]))
+        keys.append(_key(number[sent], t[chosen][owner[sent]], low[sent], high[sent], ~heavy[sent]))
+        left.append(spare[owner[sent]])
+        home.append(np.full(len(docs[-1]), step == 0))
         for i in np.flatnonzero(sends_all):  # its blocks without any bit
             have = number[owner == i]
             bare = np.setdiff1d(np.arange(total[i]), have.astype(np.int64))
             zero = np.zeros(len(bare), np.uint64)
             docs.append(np.full(len(bare), chosen[i]))
-            keys.append(_key(bare, np.full(len(bare), t[chosen[i]]), zero, zero))
-    return np.concatenate(docs), np.concatenate(keys)
+            keys.append(_key(bare, np.full(len(bare), t[chosen[i]]), zero, zero, np.ones(len(bare), bool)))
+            left.append(np.full(len(bare), spare[i]))
+            home.append(np.full(len(bare), step == 0))
+    return np.concatenate(docs), np.concatenate(keys), np.concatenate(left), np.concatenate(home)
 
 
 def _sums(hashes: np.ndarray, starts: np.ndarray, salt: int) -> np.ndarray:
@@ -185,16 +209,57 @@ def _sets(docs: DataFrame, rule: Rule) -> DataFrame:
 
 
 def _blocks(docs: DataFrame, rule: Rule) -> DataFrame:
-    """(key, rep) of each sketch block that a document sends."""
+    """(key, rep) of each sketch block that a document sends; the first of a band also has n (the size of its set), spare, classes and own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id").to_numpy()
             for start, texts in common.slices(batch):
-                doc, keys = block_keys(*ngrams(texts, rule.words), rule)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(ids[start + doc])], ["key", "rep"])
+                hashes, starts = ngrams(texts, rule.words)
+                doc, keys, spare, own = block_keys(hashes, starts, rule)
+                later = np.ones(len(doc), bool)
+                later[np.unique(doc * 2 + own, return_index=True)[1]] = False
+                n = np.diff(starts)
+                classes = rule.classes(n)[np.where(own, 0, 1), doc]
+                about = [pa.array(x, kind, mask=later) for x, kind in ((n[doc], pa.int32()), (spare, pa.int32()), (classes, pa.int32()), (own, pa.bool_()))]
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(ids[start + doc]), *about], ["key", "rep", "n", "spare", "classes", "own"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "key long, rep long, n int, spare int, classes int, own boolean")
+
 
-    return docs.select("doc_id", "text").mapInArrow(run, "key long, rep long")
+def _band() -> Column:
+    """A document's two bands differ in the last bit of their keys."""
+    return F.col("key").bitwiseAND(1).alias("band")
+
+
+def _twos(blocks: DataFrame) -> DataFrame:
+    """(key, rep, n, own): twos of the blocks that several reps send, of one band and class, without the ``spare`` most common blocks of each rep and band.
+
+    ``blocks`` is written already, and goes.
+    """
+    shared = common.cut(_met(blocks), "shared")
+    bands = common.cut(blocks.where("n is not null").select("rep", _band(), "n", "spare", "classes", "own"), "bands")
+    held = common.cut(blocks.select("key", "rep").join(shared.hint("merge"), "key"), "held")
+    common.drop(shared, blocks)
+    order = Window.partitionBy("rep", "band").orderBy(F.col("key").bitwiseAND(2).desc(), F.desc("size"), "key")
+    placed = held.withColumn("band", _band()).join(bands.hint("merge"), ["rep", "band"]).withColumns({"nth": F.row_number().over(order), "all": F.count("*").over(Window.partitionBy("rep", "band"))})
+    # Fewer than this are shared with anybody: not linked with anybody.
+    rarest = placed.where("nth > spare and all > spare + classes").withColumn("class", F.pmod(F.xxhash64("key"), F.col("classes")))
+    keys = F.array_sort(F.collect_list("key"))
+    sets = rarest.groupBy("rep", "band", "class").agg(F.first("n").alias("n"), F.first("own").alias("own"), keys.alias("keys"))
+    two = F.expr("flatten(transform(keys, (x, i) -> transform(slice(keys, i + 2, size(keys)), y -> xxhash64(x, y))))")
+    twos = common.cut(sets.where(F.size("keys") > 1).select(F.explode(two).alias("key"), "rep", "n", "own"), "twos")
+    common.drop(held, bands)
+    return twos
+
+
+def _pairs(small: DataFrame, rule: Rule) -> DataFrame:
+    """(a, b, n) that meet in a small bucket; n: the size of b's set."""
+    rows = small.select("key", F.struct("rep", "n", "own").alias("x"))
+    n, m = F.col("x.n"), F.col("y.n")
+    able = (F.col("x.rep") < F.col("y.rep")) & (F.col("x.own") | F.col("y.own")) & (F.lit(rule.den) * F.least(n, m) >= F.lit(rule.num) * F.greatest(n, m))
+    met = rows.join(rows.select("key", F.col("x").alias("y")), "key").where(able)
+    return met.groupBy(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).agg(F.max(m).alias("n"))
 
 
 class _Star:
@@ -251,32 +316,32 @@ class _Star:
                 root[root == root[x]] = root[y]
         return out
 
-    def first_differences(self) -> Iterator[tuple[int, bool, np.ndarray]]:
-        for b, loose, apart, most in zip(self.ids, self.loose.tolist(), self.apart, self._most().tolist(), strict=True):
+    def first_differences(self) -> Iterator[tuple[int, int, bool, np.ndarray]]:
+        for b, n, loose, apart, most in zip(self.ids, self.sizes, self.loose.tolist(), self.apart, self._most().tolist(), strict=True):
             order = np.lexsort((apart, np.isin(apart, self.centre, assume_unique=True)))
-            yield b, loose, apart[order[: most + 1]].view(np.int64)
+            yield b, n, loose, apart[order[: most + 1]].view(np.int64)
 
 
 def _compared(stars: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
-    """Links (a, b); and (a, b, part, loose, grams) of members of stars that are dealt to several tasks.
+    """Links (a, b); and (a, b, n, part, loose, grams) of members of stars that are dealt to several tasks.
 
     ``stars``: (a, b, n), n the size of b's set. Each centre a is sent once to each task that compares it with some of its b.
     """
 
-    def record(links: list[tuple[int, int]], more: list[tuple[int, int, int, bool, np.ndarray]]) -> pa.RecordBatch:
+    def record(links: list[tuple[int, int]], more: list[tuple[int, int, int, int, bool, np.ndarray]]) -> pa.RecordBatch:
         none = [None] * len(links)
-        offsets = np.cumsum([0, *(len(x[4]) for x in more)])
-        grams = pa.ListArray.from_arrays(pa.array([*none, *offsets.tolist()], pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *(x[4] for x in more)])))
+        offsets = np.cumsum([0, *(len(x[5]) for x in more)])
+        grams = pa.ListArray.from_arrays(pa.array([*none, *offsets.tolist()], pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *(x[5] for x in more)])))
         ends = [pa.array([x[i] for x in links] + [x[i] for x in more], pa.int64()) for i in (0, 1)]
-        rest = [pa.array(none + [x[i] for x in more], kind) for i, kind in ((2, pa.int32()), (3, pa.bool_()))]
-        return pa.RecordBatch.from_arrays([*ends, *rest, grams], ["a", "b", "part", "loose", "grams"])
+        rest = [pa.array(none + [x[i] for x in more], kind) for i, kind in ((2, pa.int32()), (3, pa.int32()), (4, pa.bool_()))]
+        return pa.RecordBatch.from_arrays([*ends, *rest, grams], ["a", "b", "n", "part", "loose", "grams"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         star: _Star | None = None
 
         def closed() -> pa.RecordBatch:
             links = star.links() if star.ids else []
-            return record(links, [(star.key[0], b, star.key[1], loose, grams) for b, loose, grams in star.first_differences()] if star.ids and star.split else [])
+            return record(links, [(star.key[0], b, n, star.key[1], loose, grams) for b, n, loose, grams in star.first_differences()] if star.ids and star.split else [])
 
         for batch in batches:
             keys = list(zip(batch.column("a").to_pylist(), batch.column("part").to_pylist(), strict=True))
@@ -299,33 +364,36 @@ def _compared(stars: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
     centres = loads.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("a").alias("b"), F.lit(0).alias("member"), (F.col("parts") > 1).alias("split"))
     rows = members.unionByName(centres).join(texts.select(F.col("doc_id").alias("b"), "text").hint("merge"), "b")
     rows = rows.repartition("a", "part").sortWithinPartitions("a", "part", "member", "b").select("a", "part", "b", "split", "text")
-    return rows.mapInArrow(run, "a long, b long, part int, loose boolean, grams array<long>")
+    return rows.mapInArrow(run, "a long, b long, n int, part int, loose boolean, grams array<long>")
 
 
-def _stars(held: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(a, b, n): in each bucket its most central member with every other one. ``held``: (key, rep, size), size that of the bucket."""
+def _stars(held: DataFrame) -> DataFrame:
+    """(a, b, n): in each bucket its most central member with every other one. ``held``: (key, rep, n, size), size that of the bucket."""
     central = held.groupBy("rep").agg(F.sum("size").alias("company"))
     most = F.max_by("rep", F.struct("company", F.bitwise_not("rep")))
-    centres = common.cut(held.select("key", "rep").join(central, "rep").groupBy("key").agg(most.alias("a")), "centres")
-    pairs = held.join(centres, "key").where("a != rep").select("a", F.col("rep").alias("b")).distinct()
-    stars = common.cut(pairs.join(sizes.select(F.col("doc_id").alias("b"), "n"), "b"), "stars")
-    common.drop(centres)
-    return stars
+    centres = held.select("key", "rep").join(central, "rep").groupBy("key").agg(most.alias("a"))
+    return held.join(centres, "key").where("a != rep").groupBy("a", F.col("rep").alias("b")).agg(F.max("n").alias("n"))
+
+
+def _met(rows: DataFrame, *more: Column) -> DataFrame:
+    """(key, size) of the buckets that hold several reps and meet the other conditions."""
+    return rows.groupBy("key").agg(F.count("*").alias("size"), *(x.alias(f"c{i}") for i, x in enumerate(more))).where(" and ".join(["size > 1", *(f"c{i}" for i in range(len(more)))])).select("key", "size")
 
 
 def _buckets(rows: DataFrame, *more: Column) -> DataFrame:
-    """(key, rep, size) of the buckets that hold several reps and meet the other conditions. ``rows`` is written already."""
-    met = common.cut(rows.groupBy("key").agg(F.count("*").alias("size"), *(x.alias(f"c{i}") for i, x in enumerate(more))).where(" and ".join(["size > 1", *(f"c{i}" for i in range(len(more)))])).select("key", "size"), "shared")
-    held = common.cut(rows.select("key", "rep").join(met.hint("merge"), "key"), "buckets")
-    common.drop(met)
+    """``rows`` of such buckets, with the size. ``rows`` is written already, and goes."""
+    met = common.cut(_met(rows, *more), "shared")
+    held = common.cut(rows.join(met.hint("merge"), "key"), "buckets")
+    common.drop(met, rows)
     return held
 
 
-def _links(held: DataFrame, texts: DataFrame, sizes: DataFrame, rule: Rule) -> DataFrame:
-    """(a, b): links that join all that the buckets' members' links join."""
+def _links(held: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
+    """(a, b): links that join all that the documents' links join. ``held``: buckets of twos, with ``own``."""
+    small, large = held.where(F.col("size") <= SMALL), held.where(F.col("size") > SMALL)
+    stars = common.cut(_pairs(small, rule).unionByName(_stars(large)), "stars")
     links = None
     while True:
-        stars = _stars(held, sizes)
         common.drop(held)
         compared = common.cut(_compared(stars, texts, rule), "compared")
         common.drop(stars)
@@ -337,13 +405,13 @@ def _links(held: DataFrame, texts: DataFrame, sizes: DataFrame, rule: Rule) -> D
         # What is not linked with its centre meets members of other tasks where both differ from the centre alike.
         whole = graph.components(links)
         open_ = dealt.groupBy("a").agg(F.max("loose").alias("loose")).where("loose").select("a")
-        rows = dealt.join(open_, "a", "left_semi").select("a", F.col("b").alias("rep"), "part", "loose", F.explode("grams").alias("gram"))
+        rows = dealt.join(open_, "a", "left_semi").select("a", F.col("b").alias("rep"), "n", "part", "loose", F.explode("grams").alias("gram"))
         rows = rows.join(whole.select(F.col("node").alias("rep"), "component"), "rep", "left")
-        rows = common.cut(rows.select(F.xxhash64("a", "gram").alias("key"), "rep", "part", "loose", F.coalesce("component", "rep").alias("whole")), "differences")
+        rows = common.cut(rows.select(F.xxhash64("a", "gram").alias("key"), "rep", "n", "part", "loose", F.coalesce("component", "rep").alias("whole")), "differences")
         held = _buckets(rows, F.max("loose"), F.min("part") != F.max("part"), F.min("whole") != F.max("whole"))
-        common.drop(rows)
         if held.isEmpty():
             return links
+        stars = common.cut(_stars(held), "stars")
 
 
 def _grouped(one: DataFrame, rule: Rule) -> DataFrame:
@@ -354,11 +422,9 @@ def _grouped(one: DataFrame, rule: Rule) -> DataFrame:
     classes = some.join(firsts, same).select("doc_id", "n", "rep").unionByName(sets.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("rep")))
     classes = common.cut(classes, "classes")
     common.drop(sets)
-    reps = classes.where("n > 0 and doc_id = rep").select("doc_id", "n")
-    blocks = common.cut(_blocks(one.join(reps.select("doc_id").hint("merge"), "doc_id", "left_semi"), rule), "blocks")
-    held = _buckets(blocks)
-    common.drop(blocks)
-    parts = graph.components(_links(held, one, reps, rule))
+    reps = classes.where("n > 0 and doc_id = rep").select("doc_id")
+    blocks = common.cut(_blocks(one.join(reps.hint("merge"), "doc_id", "left_semi"), rule), "blocks")
+    parts = graph.components(_links(_buckets(_twos(blocks), F.max("own")), one, rule))
     whole = classes.join(parts, classes["rep"] == parts["node"], "left")
     return whole.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("whole"))
 
