@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 #: Characters of text that one vectorised step takes at a time (a longer text is a step of its own).
 SLICE_CHARS = 1_500_000
 #: Distinct words that one Python worker remembers; a full memory is emptied.
-WORD_CACHE = 400_000
+WORD_CACHE = 150_000
 #: Stands for a null doc_id inside joins; it sorts before every other id.
 NULL_ID = -(2**63)
 

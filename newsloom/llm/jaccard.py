@@ -23,8 +23,8 @@ pairs of a star are found by their differences, and of each member only the firs
 matter, as linked members leave at most D of them unshared. Within a task the order is by rarity and pairs are verified
 on the spot: x and y differ where just one of dx and dy has a member. A star too large for one task is dealt to several,
 each with the centre; where some of its members are not linked with it, the first D + 1 differences
-of each (what the centre lacks first) are the keys of new buckets, which go the same way. Their members agree in one
-more n-gram, so this ends. Buckets whose members are all of one component or one task are left out. No link between
+of each (what the centre lacks first) are the keys of new buckets, which go the same way, each a star of its own. Their
+members agree in one more n-gram than those of the bucket before, so this ends. Buckets whose members are all of one component or one task are left out. No link between
 different texts is lost, and neither the copies in a large group nor its stragglers are paired with each other. Verification
 counts shared n-grams exactly.
 
@@ -67,7 +67,7 @@ class Rule:
         self.words, self.num, self.den = words, num, den
         # Few n-grams fall into each block of a looser similarity, so there only empty blocks count as light.
         self.light = 1 if num / den >= 0.88 else 0
-        self.spare = 0.3 if num / den >= 0.88 else 0.4
+        self.spare = 0.3 if num / den >= 0.88 else 0.5
 
     def differ(self, total: int) -> int:
         """Most members in which linked sets of ``total`` members together can differ."""
@@ -82,7 +82,7 @@ class Rule:
         """(blocks, spare blocks, classes) of band ``t``; no blocks where linked sets must be equal."""
         d = self.differ(2 * self.band(t)[1])
         spare = int(np.ceil(self.spare * (d + 1)))
-        return (d + 1 + spare, spare, max(1, spare // 3)) if d else (0, 0, 0)
+        return (d + 1 + spare, spare, max(1, spare // 2)) if d else (0, 0, 0)
 
 
     def classes(self, n: np.ndarray) -> np.ndarray:
@@ -265,8 +265,8 @@ def _pairs(small: DataFrame, rule: Rule) -> DataFrame:
 class _Star:
     """A centre and the members that one task compares with it."""
 
-    def __init__(self, rule: Rule, key: tuple[int, int], split: bool, centre: np.ndarray):
-        self.rule, self.key, self.split, self.centre = rule, key, split, centre
+    def __init__(self, rule: Rule, key: tuple[int, int], a: int, split: bool, centre: np.ndarray):
+        self.rule, self.key, self.a, self.split, self.centre = rule, key, a, split, centre
         self.ids: list[int] = []
         self.sizes: list[int] = []
         self.apart: list[np.ndarray] = []  # the n-grams that only the centre or only the member has
@@ -302,7 +302,7 @@ class _Star:
         far = np.array([len(x) for x in self.apart], np.int64) * (rule.den + rule.num)
         loose = far > (len(self.centre) + sizes) * (rule.den - rule.num)
         self.loose = loose
-        out = [(self.key[0], self.ids[i]) for i in np.flatnonzero(~loose)]
+        out = [(self.a, self.ids[i]) for i in np.flatnonzero(~loose)]
         if not loose.any() or len(loose) < 2:
             return out
         root = np.where(loose, np.arange(len(loose)), -1)
@@ -323,18 +323,19 @@ class _Star:
 
 
 def _compared(stars: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
-    """Links (a, b); and (a, b, n, part, loose, grams) of members of stars that are dealt to several tasks.
+    """Links (a, b); and (star, b, n, part, loose, grams) of members of stars that are dealt to several tasks.
 
-    ``stars``: (a, b, n), n the size of b's set. Each centre a is sent once to each task that compares it with some of its b.
+    ``stars``: (star, a, b, n), n the size of b's set. A star's centre a is sent once to each task that compares it with some of its b.
     """
 
     def record(links: list[tuple[int, int]], more: list[tuple[int, int, int, int, bool, np.ndarray]]) -> pa.RecordBatch:
         none = [None] * len(links)
         offsets = np.cumsum([0, *(len(x[5]) for x in more)])
         grams = pa.ListArray.from_arrays(pa.array([*none, *offsets.tolist()], pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *(x[5] for x in more)])))
-        ends = [pa.array([x[i] for x in links] + [x[i] for x in more], pa.int64()) for i in (0, 1)]
-        rest = [pa.array(none + [x[i] for x in more], kind) for i, kind in ((2, pa.int32()), (3, pa.int32()), (4, pa.bool_()))]
-        return pa.RecordBatch.from_arrays([*ends, *rest, grams], ["a", "b", "n", "part", "loose", "grams"])
+        a = pa.array([x[0] for x in links] + [None] * len(more), pa.int64())
+        b = pa.array([x[1] for x in links] + [x[1] for x in more], pa.int64())
+        star, *rest = (pa.array(none + [x[i] for x in more], kind) for i, kind in ((0, pa.int64()), (2, pa.int32()), (3, pa.int32()), (4, pa.bool_())))
+        return pa.RecordBatch.from_arrays([a, b, star, *rest, grams], ["a", "b", "star", "n", "part", "loose", "grams"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         star: _Star | None = None
@@ -344,7 +345,7 @@ def _compared(stars: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
             return record(links, [(star.key[0], b, n, star.key[1], loose, grams) for b, n, loose, grams in star.first_differences()] if star.ids and star.split else [])
 
         for batch in batches:
-            keys = list(zip(batch.column("a").to_pylist(), batch.column("part").to_pylist(), strict=True))
+            keys = list(zip(batch.column("star").to_pylist(), batch.column("part").to_pylist(), strict=True))
             ids, split = batch.column("b").to_pylist(), batch.column("split").to_pylist()
             for start, some in common.slices(batch):
                 hashes, starts = ngrams(some, rule.words)
@@ -353,26 +354,30 @@ def _compared(stars: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
                     if star is None or keys[start + i] != star.key:  # a group's first row is its centre
                         if star is not None:
                             yield closed()
-                        star = _Star(rule, keys[start + i], split[start + i], own.copy())
+                        star = _Star(rule, keys[start + i], ids[start + i], split[start + i], own.copy())
                     else:
                         star.add(ids[start + i], own)
         if star is not None:
             yield closed()
 
-    loads = stars.groupBy("a").agg(F.ceil(F.greatest(F.count("*") / F.lit(float(PART_ROWS)), F.sum("n") / F.lit(float(PART_GRAMS)))).cast("int").alias("parts"))
-    members = stars.join(loads, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "b", F.lit(1).alias("member"), (F.col("parts") > 1).alias("split"))
-    centres = loads.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("a").alias("b"), F.lit(0).alias("member"), (F.col("parts") > 1).alias("split"))
+    split = (F.col("parts") > 1).alias("split")
+    loads = stars.groupBy("star", "a").agg(F.ceil(F.greatest(F.count("*") / F.lit(float(PART_ROWS)), F.sum("n") / F.lit(float(PART_GRAMS)))).cast("int").alias("parts"))
+    members = stars.drop("a").join(loads, "star").select("star", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "b", F.lit(1).alias("member"), split)
+    centres = loads.select("star", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("a").alias("b"), F.lit(0).alias("member"), split)
     rows = members.unionByName(centres).join(texts.select(F.col("doc_id").alias("b"), "text").hint("merge"), "b")
-    rows = rows.repartition("a", "part").sortWithinPartitions("a", "part", "member", "b").select("a", "part", "b", "split", "text")
-    return rows.mapInArrow(run, "a long, b long, n int, part int, loose boolean, grams array<long>")
+    rows = rows.repartition("star", "part").sortWithinPartitions("star", "part", "member", "b").select("star", "part", "b", "split", "text")
+    return rows.mapInArrow(run, "a long, b long, star long, n int, part int, loose boolean, grams array<long>")
 
 
-def _stars(held: DataFrame) -> DataFrame:
-    """(a, b, n): in each bucket its most central member with every other one. ``held``: (key, rep, n, size), size that of the bucket."""
+def _stars(held: DataFrame, star: str) -> DataFrame:
+    """(star, a, b, n): in each bucket its most central member a with every other one. ``held``: (key, rep, n, size), size that of the bucket.
+
+    A star takes in all buckets of one centre (``star``: a), or one bucket (``star``: key).
+    """
     central = held.groupBy("rep").agg(F.sum("size").alias("company"))
     most = F.max_by("rep", F.struct("company", F.bitwise_not("rep")))
     centres = held.select("key", "rep").join(central, "rep").groupBy("key").agg(most.alias("a"))
-    return held.join(centres, "key").where("a != rep").groupBy("a", F.col("rep").alias("b")).agg(F.max("n").alias("n"))
+    return held.join(centres, "key").where("a != rep").groupBy(F.col(star).alias("star"), "a", F.col("rep").alias("b")).agg(F.max("n").alias("n"))
 
 
 def _met(rows: DataFrame, *more: Column) -> DataFrame:
@@ -391,7 +396,7 @@ def _buckets(rows: DataFrame, *more: Column) -> DataFrame:
 def _links(held: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
     """(a, b): links that join all that the documents' links join. ``held``: buckets of twos, with ``own``."""
     small, large = held.where(F.col("size") <= SMALL), held.where(F.col("size") > SMALL)
-    stars = common.cut(_pairs(small, rule).unionByName(_stars(large)), "stars")
+    stars = common.cut(_pairs(small, rule).withColumn("star", F.col("a")).unionByName(_stars(large, "a")), "stars")
     links = None
     while True:
         common.drop(held)
@@ -404,14 +409,14 @@ def _links(held: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
             return links
         # What is not linked with its centre meets members of other tasks where both differ from the centre alike.
         whole = graph.components(links)
-        open_ = dealt.groupBy("a").agg(F.max("loose").alias("loose")).where("loose").select("a")
-        rows = dealt.join(open_, "a", "left_semi").select("a", F.col("b").alias("rep"), "n", "part", "loose", F.explode("grams").alias("gram"))
+        open_ = dealt.groupBy("star").agg(F.max("loose").alias("loose")).where("loose").select("star")
+        rows = dealt.join(open_, "star", "left_semi").select("star", F.col("b").alias("rep"), "n", "part", "loose", F.explode("grams").alias("gram"))
         rows = rows.join(whole.select(F.col("node").alias("rep"), "component"), "rep", "left")
-        rows = common.cut(rows.select(F.xxhash64("a", "gram").alias("key"), "rep", "n", "part", "loose", F.coalesce("component", "rep").alias("whole")), "differences")
+        rows = common.cut(rows.select(F.xxhash64("star", "gram").alias("key"), "rep", "n", "part", "loose", F.coalesce("component", "rep").alias("whole")), "differences")
         held = _buckets(rows, F.max("loose"), F.min("part") != F.max("part"), F.min("whole") != F.max("whole"))
         if held.isEmpty():
             return links
-        stars = common.cut(_stars(held), "stars")
+        stars = common.cut(_stars(held, "key"), "stars")
 
 
 def _grouped(one: DataFrame, rule: Rule) -> DataFrame:

@@ -41,7 +41,7 @@ DISCLOSURE = 0.8
 #: Bits of the field that marks the terms to count (4 MB). Terms that share a bit are counted too, and left out by the join that follows.
 FIELD_BITS = 1 << 25
 #: Terms that one task counts before it hands them on.
-COUNTED_TERMS = 400_000
+COUNTED_TERMS = 200_000
 
 _domain = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _local = re.compile(r"[A-Za-z0-9._%+-]+\Z")
