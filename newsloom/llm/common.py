@@ -134,11 +134,32 @@ class WordHashes(dict):
 
 
 _hashes = WordHashes()
+#: What a worker remembers, by kind of work, and the kind it is at.
+_memories: list = [_hashes]
+_current = None
+
+
+def remember(memory) -> None:
+    """``memory`` has a method clear()."""
+    _memories.append(memory)
+
+
+def settle(own=None) -> None:
+    """A worker is used again and again; at another kind of work it forgets what it remembers of the one before."""
+    global _current
+    if own is not _current:
+        for memory in _memories:
+            if memory is not own:
+                memory.clear()
+        _current = own
+
+
 #: A-Z to lower case; everything else stays.
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
+    settle(_hashes)
     return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
 
 

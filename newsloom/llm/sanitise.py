@@ -160,6 +160,7 @@ def _document_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
     field = docs.sparkSession.sparkContext.broadcast(_field(terms))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.settle()
         wanted, keys, counts = field.value, {}, {}
 
         def counted() -> pa.RecordBatch:

@@ -12,6 +12,8 @@ import re
 
 import numpy as np
 
+from . import common
+
 #: Chunks that a worker remembers in each of two generations (about 150 bytes each).
 CHUNK_CACHE = 450_000
 #: New chunks that are encoded in a row.
@@ -102,7 +104,11 @@ class Encoder:
         out.update((x, out[base] + out[tail]) for x, base, tail in tailed)
         return out
 
+    def clear(self) -> None:
+        self.known, self.older = {}, {}
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
+        common.settle(self)
         if len(self.known) > CHUNK_CACHE:
             self.known, self.older = {}, self.known
         known, older = self.known, self.older
@@ -120,4 +126,5 @@ class Encoder:
 def encoder(path: str) -> Encoder:
     if path not in _made:
         _made[path] = Encoder(path)
+        common.remember(_made[path])
     return _made[path]
