@@ -1,8 +1,8 @@
 """Dictionary lookup over token streams, and the counts built on it.
 
-A lookup never compares every token with every pattern. The distinct words of the patterns are matched
-with the corpus vocabulary first (endings by prefix); tokens then meet their pattern words by equality, and
-phrases are put together from neighbouring hits.
+Of each document's token array only the tokens that fit a word of some pattern are taken out, with their places; the
+corpus is read once and no other token is a row. What is left meets the patterns by equality, and phrases are put together from
+neighbouring hits.
 """
 
 from __future__ import annotations
@@ -28,17 +28,24 @@ def _pattern_words(dictionary: dict[str, list[str]]) -> list[tuple]:
     return out
 
 
-def _words_seen(rows: DataFrame, words: list[tuple]) -> DataFrame:
-    """(tok, word, is_start) for the vocabulary's words that fit a pattern word."""
-    wanted = rows.sparkSession.createDataFrame(sorted({(w[4], w[5]) for w in words}), "word string, is_start boolean")
-    exact = wanted.where("not is_start").select(F.col("word").alias("tok"), "word", "is_start")
-    starts = sorted({w[4] for w in words if w[5]})
-    if not starts:
-        return exact
-    vocabulary = rows.select("tok").distinct()
-    fits = F.filter(F.array(*(F.lit(s) for s in starts)), lambda s: F.startswith(F.col("tok"), s))
-    found = vocabulary.select("tok", F.explode(fits).alias("word")).withColumn("is_start", F.lit(True))
-    return exact.unionByName(found)
+def _fitting(docs: DataFrame, words: list[tuple], key: str, stop: tuple[str, ...] | list[str]) -> DataFrame:
+    """(key, pos, word, is_start) for the tokens that fit a pattern word; the others are left in their array."""
+    exact, starts = sorted({w[4] for w in words if not w[5]}), sorted({w[4] for w in words if w[5]})
+
+    def fits(tok: Column) -> Column:
+        able = tok.isin(exact)
+        for start in starts:
+            able = able | F.startswith(tok, F.lit(start))
+        return able
+
+    seen = lambda word, is_start: F.struct(word.alias("word"), F.lit(is_start).alias("is_start"))
+    placed = F.transform(text.tokens(F.col("text"), stop), lambda tok, pos: F.when(fits(tok), F.struct(pos.alias("pos"), tok.alias("tok"))))
+    rows = docs.select(key, F.explode(F.filter(placed, lambda x: x.isNotNull())).alias("x")).select(key, "x.pos", "x.tok")
+    found = F.array(seen(F.col("tok"), False))
+    if starts:
+        begun = F.filter(F.array(*(F.lit(s) for s in starts)), lambda s: F.startswith(F.col("tok"), s))
+        found = F.concat(found, F.transform(begun, lambda s: seen(s, True)))
+    return rows.select(key, "pos", F.explode(found).alias("w")).select(key, "pos", "w.*")
 
 
 def lookup(docs: DataFrame, dictionary: dict[str, list[str]], key: str = "doc_id", stop: tuple[str, ...] | list[str] = (), nested: str = "key") -> DataFrame:
@@ -48,9 +55,8 @@ def lookup(docs: DataFrame, dictionary: dict[str, list[str]], key: str = "doc_id
     The columns are: the document key, ``key``, ``pattern``, ``first``, ``last``.
     """
     words = _pattern_words(dictionary)
-    rows = token_rows(docs, key, stop)
-    spec = rows.sparkSession.createDataFrame([(w[0], w[1], w[2], w[3], w[4], w[5]) for w in words], "key string, pattern string, place int, length int, word string, is_start boolean")
-    hits = rows.join(_words_seen(rows, words), "tok").join(F.broadcast(spec), ["word", "is_start"])  # the dictionary is a literal
+    spec = docs.sparkSession.createDataFrame([(w[0], w[1], w[2], w[3], w[4], w[5]) for w in words], "key string, pattern string, place int, length int, word string, is_start boolean")
+    hits = _fitting(docs, words, key, stop).join(F.broadcast(spec), ["word", "is_start"])  # the dictionary is a literal
     whole = hits.groupBy(key, "key", "pattern", "length", (F.col("pos") - F.col("place")).alias("first")).agg(F.countDistinct("place").alias("met")).where("met = length")
     spans = whole.select(key, "key", "pattern", "first", (F.col("first") + F.col("length") - 1).alias("last"))
     return outermost(spans, [key, "key"] if nested == "key" else [key])
