@@ -39,6 +39,16 @@ def parsed(results: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame,
     return rows, summaries, errors
 
 
+def parsed_reviews(results: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(reviews, errors) of second-pass results (custom_id, status, text): one row per review, in the columns of ``REVIEW``."""
+    shape = "reviews array<struct<" + ", ".join(":".join(x.split(" ")) for x in REVIEW.split(", ")) + ">>, _bad string"
+    read = results.withColumn("got", F.from_json("text", shape, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
+    bad = F.when(F.col("status") != "succeeded", F.col("status")).when(F.col("text").isNull(), "no_text_block").when(F.col("got").isNull() | F.col("got._bad").isNotNull(), "bad_json")
+    read = read.withColumn("failure", bad)
+    rows = read.where("failure is null").select(F.explode("got.reviews").alias("review")).select("review.*")
+    return rows, read.where("failure is not null").select("custom_id", "failure", F.coalesce("got._bad", F.lit("")).alias("error"))
+
+
 def row_id(article: Column, at: Column) -> Column:
     return F.concat(article.cast("string"), F.lit("::"), at.cast("string"))
 

@@ -1,7 +1,7 @@
 import pytest
 from oracle import actual, expected
 
-from newsloom.plans import catalog
+from newsloom.plans import catalog, selections  # noqa: F401  (the second adds to the first)
 
 SF = "/root/testdata/sf0.001"
 
