@@ -75,7 +75,8 @@ def _file() -> Column:
 def file_starts(spark: SparkSession, target: str) -> DataFrame:
     """(file, before): ids in all files before it. One row per file, from two narrow columns."""
     totals = read(spark, target).select(_file(), "doc_id", (F.col("rel_start") + F.col("n_tokens")).alias("upto")).groupBy("file").agg(F.max("upto").alias("total"))
-    earlier = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # the writer numbers files in order
+    number = F.regexp_extract("file", r"part-(\d+)[^/]*$", 1).cast("long")  # the writer numbers files in order
+    earlier = Window.orderBy(number, "file").rowsBetween(Window.unboundedPreceding, -1)
     return totals.select("file", F.coalesce(F.sum("total").over(earlier), F.lit(0)).alias("before"))
 
 
