@@ -67,8 +67,8 @@ def planned(pages: DataFrame) -> DataFrame:
     rows = rows.withColumns({"sha256": F.sha2("payload", 256), "payload_bytes": F.length("payload").cast("long")})
     thin = rows.select("page_id", "sha256", "payload_bytes")
     holders = thin.where(F.col("payload_bytes") >= LEAST_BYTES).groupBy("sha256", "payload_bytes").agg(F.max("page_id").alias("holder"), F.count("*").alias("times")).where("times > 1").drop("times")
-    revisits = thin.join(holders, ["sha256", "payload_bytes"]).where("page_id != holder").select(F.col("page_id").alias("_page"), F.col("sha256").alias("_sha"), "holder").distinct()
-    marked = rows.join(revisits, (F.col("page_id") == F.col("_page")) & (F.col("sha256") == F.col("_sha")), "left").drop("_page", "_sha")
+    revisits = thin.join(holders.hint("merge"), ["sha256", "payload_bytes"]).where("page_id != holder").select(F.col("page_id").alias("_page"), F.col("sha256").alias("_sha"), "holder").distinct()
+    marked = rows.join(revisits.hint("merge"), (F.col("page_id") == F.col("_page")) & (F.col("sha256") == F.col("_sha")), "left").drop("_page", "_sha")
     return marked
 
 
@@ -190,7 +190,8 @@ def records(spark: SparkSession, target: str, blocks: bool = False) -> DataFrame
                     yield batch_of(rows)
 
     parts = spark.read.schema(PARTS).parquet(f"{target}/parts")
-    return parts.select("file").repartition("file").mapInArrow(run, RECORDS)
+    # The list is tiny however large the archive is, so Spark by itself would give it to one task.
+    return parts.select("file").repartition(max(1, parts.count())).mapInArrow(run, RECORDS)
 
 
 def _stored(column: str):
@@ -202,7 +203,7 @@ def reconstruct(spark: SparkSession, target: str) -> DataFrame:
     """page_id, header, payload of every record: headers joined with the payloads by address."""
     found = records(spark, target, blocks=True).where("record_type = 'response'")
     payloads = found.groupBy("sha256").agg(F.first("block").alias("payload"))
-    return spark.read.parquet(f"{target}/headers").join(payloads, "sha256", "left").select("page_id", "header", _stored("payload"))
+    return spark.read.parquet(f"{target}/headers").join(payloads.hint("merge"), "sha256", "left").select("page_id", "header", _stored("payload"))
 
 
 def index(spark: SparkSession, target: str) -> DataFrame:
@@ -214,4 +215,4 @@ def index(spark: SparkSession, target: str) -> DataFrame:
     found = records(spark, target)
     stored = found.where("record_type = 'response'").groupBy("sha256").agg(F.max("payload_bytes").alias("payload_bytes"), F.max("sha1").alias("payload_digest"))
     heads = spark.read.parquet(f"{target}/headers").select("page_id", "record_type", "refers_to", "sha256")
-    return heads.join(stored, "sha256", "left").select("page_id", _stored("payload_bytes"), _stored("payload_digest"), "record_type", "refers_to")
+    return heads.join(stored.hint("merge"), "sha256", "left").select("page_id", _stored("payload_bytes"), _stored("payload_digest"), "record_type", "refers_to")
