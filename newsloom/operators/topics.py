@@ -30,6 +30,19 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
+def nearest(queries: DataFrame, vectors: DataFrame, n: int, block: int = 1000) -> DataFrame:
+    """(vec_i, vec_j, cosine): of each query the ``n`` most similar other vectors; of equal ones the smaller id.
+
+    A stated query set against all vectors: the queries are dealt to blocks of about ``block``, and each vector meets every block.
+    """
+    blocks = max(1, -(-queries.count() // block))
+    asked = queries.select(F.col("vec_id").alias("vec_i"), F.col("embedding").alias("e"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block"))
+    rows = vectors.select("vec_id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")).alias("block"))
+    pairs = rows.join(asked, "block").where("vec_i != vec_id").select("vec_i", F.col("vec_id").alias("vec_j"), F.round(cosine(F.col("e"), F.col("embedding")), 6).alias("cosine"))
+    order = Window.partitionBy("vec_i").orderBy(F.desc("cosine"), "vec_j")
+    return pairs.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= n).drop("nth")
+
+
 def centroids(vectors: DataFrame, group: str = "label") -> DataFrame:
     """(group, centroid): mean vector of each group."""
     parts = vectors.select(group, F.posexplode("embedding").alias("at", "x")).groupBy(group, "at").agg(F.avg(F.col("x").cast("double")).alias("m"))
