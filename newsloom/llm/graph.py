@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from . import common
 
 
+#: A round's edges are written to so few files; a small list needs no file for every shuffle partition.
+EDGES_A_FILE = 250_000
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every neighbour above a node moves to the smallest of the node and its neighbours."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -35,6 +39,7 @@ def components(edges: DataFrame) -> DataFrame:
         if seen == mark or not seen[0]:
             break
         mark = seen
-        before, now = now, common.cut(_small_star(_large_star(now)), "edges")
+        files = 1 + seen[0] // EDGES_A_FILE
+        before, now = now, common.cut(_small_star(_large_star(now)).coalesce(files), "edges")
         common.drop(before)
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
