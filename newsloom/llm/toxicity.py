@@ -6,11 +6,13 @@ nearly all weights at zero, so the model is a short list that is broadcast (its
 number of coordinates).
 
 The model is fitted by one task on at most ``TRAIN_ROWS`` labelled documents, chosen by a hash of their
-id among all labelled ones; scoring reads every document once and shuffles nothing.
+id among all labelled ones, and stops taking more once it has read ``TRAIN_BYTES``; scoring reads every
+document once and shuffles nothing. The settings come from ``choose_toxicity``, which never sees the held-out third.
 
 Null and empty texts have no features; the intercept alone scores them. A document labelled more than once
-counts as its highest label. Repeated rows are scored each. With no labelled document all weights are
-zero and every score is 0.5. Empty tables and extra columns are fine.
+counts as its highest label, and an id with several texts is learned by its smallest. Repeated rows are scored
+each. A null doc_id is never learned from and never held out. With no labelled document all weights are zero and
+every score is 0.5. Empty tables and extra columns are fine.
 """
 
 from __future__ import annotations
@@ -28,21 +30,23 @@ from .decontam import WORDS
 BITS = 20
 #: The sample that the model is fitted on holds at most so many documents.
 TRAIN_ROWS = 15_000
+#: It ends with the first document that brings its texts to so many bytes.
+TRAIN_BYTES = 96_000_000
 EPOCHS = 3
-ALPHA, BETA, L1, L2 = 1.0, 1.0, 3.0, 0.1
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 6.0, 0.1
 #: Unseen forms of a known word share its head.
-HEADS = (4, 5)
+HEADS = (4, 5, 6)
 THRESHOLD = 0.7
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
-def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def features(texts: list[bytes], heads: tuple[int, ...] = HEADS) -> tuple[np.ndarray, np.ndarray]:
     """(text number, coordinate) of every word, head, pair and skip pair, repeats included. Coordinate 0 is the intercept's."""
     words, starts = common.split_words(texts, WORDS)
     h, doc = common.word_hashes(words), common.doc_of(starts)
     docs, hashes = [doc], [common.mix(h + _C)]
-    for size in HEADS:
+    for size in heads:
         docs.append(doc)
         hashes.append(common.mix(common.word_hashes([w[:size] for w in words]) + np.array([size], np.uint64) * _A))
     for gap, factor in ((1, _A), (2, _B)):
@@ -57,26 +61,43 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 class Ftrl:
     """FTRL-proximal with binary features."""
 
-    def __init__(self, size: int = 1 << BITS):
-        self.z, self.n = np.zeros(size), np.zeros(size)
+    def __init__(self, alpha: float = ALPHA, l1: float = L1):
+        self.z, self.n, self.alpha, self.l1 = np.zeros(1 << BITS), np.zeros(1 << BITS), alpha, l1
 
     def weights(self, at: np.ndarray | slice = slice(None)) -> np.ndarray:
         z, n = self.z[at], self.n[at]
-        return np.where(np.abs(z) <= L1, 0.0, (np.sign(z) * L1 - z) / ((BETA + np.sqrt(n)) / ALPHA + L2))
+        return np.where(np.abs(z) <= self.l1, 0.0, (np.sign(z) * self.l1 - z) / ((BETA + np.sqrt(n)) / self.alpha + L2))
 
     def learn(self, at: np.ndarray, label: int) -> None:
         w = self.weights(at)
         g = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - label
         n = self.n[at]
-        self.z[at] += g - (np.sqrt(n + g * g) - np.sqrt(n)) / ALPHA * w
+        self.z[at] += g - (np.sqrt(n + g * g) - np.sqrt(n)) / self.alpha * w
         self.n[at] = n + g * g
 
 
+def coordinates(texts: list[bytes], heads: tuple[int, ...] = HEADS) -> list[np.ndarray]:
+    """Of each text its distinct coordinates, the intercept's last."""
+    doc, place = features(texts, heads)
+    both = np.unique(doc << BITS | place)
+    cuts = np.searchsorted(both, np.arange(len(texts) + 1) << BITS)
+    return [np.append(both[cuts[i] : cuts[i + 1]] & ((1 << BITS) - 1), 0).astype(np.int32) for i in range(len(texts))]
+
+
+def learned(seen: list[tuple[np.ndarray, int]], model: Ftrl, epochs: int) -> np.ndarray:
+    """The weights after ``epochs`` passes over (coordinates, label)."""
+    for _ in range(epochs):
+        for at, y in seen:
+            model.learn(at, y)
+    return model.weights()
+
+
 def sample(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
     """At most ``rows`` labelled documents outside the held-out third: text, toxic, order."""
     ours = labels.where("doc_id is not null and toxic is not null").where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
     chosen = ours.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("_label")).select("doc_id", "_label", F.xxhash64("doc_id").alias("_order")).orderBy("_order", "doc_id").limit(rows)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most ``rows`` narrow rows
+    met = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most ``rows`` narrow rows
+    return met.groupBy("doc_id", "_label", "_order").agg(F.min("text").alias("text"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, epochs: int = EPOCHS) -> np.ndarray:
@@ -85,19 +106,16 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, epochs: int
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: list[tuple[np.ndarray, int]] = []
+        taken = 0
         for batch in batches:
             label = batch.column("_label").to_pylist()
             for start, texts in common.slices(batch):
-                doc, place = features(texts)
-                both = np.unique(doc << BITS | place)
-                cuts = np.searchsorted(both, np.arange(len(texts) + 1) << BITS)
-                for i in range(len(texts)):
-                    seen.append((np.append(both[cuts[i] : cuts[i + 1]] & ((1 << BITS) - 1), 0).astype(np.int32), label[start + i]))
-        model = Ftrl()
-        for _ in range(epochs):
-            for at, y in seen:
-                model.learn(at, y)
-        w = model.weights()
+                if taken < TRAIN_BYTES:
+                    reach = taken + np.cumsum([len(x) for x in texts])
+                    texts = texts[: int(np.searchsorted(reach, TRAIN_BYTES)) + 1]
+                    taken = int(reach[len(texts) - 1])
+                    seen += zip(coordinates(texts), label[start : start + len(texts)], strict=True)
+        w = learned(seen, Ftrl(), epochs)
         nonzero = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array(nonzero), pa.array(w[nonzero])], ["place", "weight"])
 
@@ -157,4 +175,4 @@ def _dense(sparse: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
 
 def predict(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     rows = score(docs, fit(docs, labels))
-    return rows.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 3 == 1).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return rows.select("doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

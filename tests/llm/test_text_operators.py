@@ -296,6 +296,56 @@ def test_toxicity(spark, nothing):
     assert toxicity.score(nothing, weights).count() == 0
 
 
+def test_toxicity_is_plain_ftrl():
+    """The same learner over dictionaries of unhashed features."""
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join(rng.choice(["Ab", "cd", "abcdefg", "abcdeff", "x1", "é"], rng.integers(0, 9)))) for i in range(80)]
+    marks = {i: int("x1" in t and i % 7 > 0) for i, t in rows}
+
+    def plain(t):
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
+        out = {("", 0), *((w, 0) for w in words), *((w.encode()[:n], n) for w in words for n in toxicity.HEADS)}
+        return out | {(a, b, 1) for a, b in zip(words, words[1:], strict=False)} | {(a, b, 2) for a, b in zip(words, words[2:], strict=False)}
+
+    z, n = {}, {}
+
+    def weight(f):
+        if abs(z.get(f, 0)) <= 1.0:
+            return 0.0
+        return (np.sign(z[f]) * 1.0 - z[f]) / ((toxicity.BETA + n[f] ** 0.5) / toxicity.ALPHA + toxicity.L2)
+
+    def said(t):
+        return 1 / (1 + np.exp(-sum(weight(f) for f in plain(t))))
+
+    seen = [(toxicity.coordinates([t.encode()])[0], marks[i]) for i, t in rows]
+    w = toxicity.learned(seen, toxicity.Ftrl(l1=1.0), toxicity.EPOCHS)
+    for _ in range(toxicity.EPOCHS):
+        for i, t in rows:
+            g = said(t) - marks[i]
+            step = {f: (weight(f), n.get(f, 0.0)) for f in plain(t)}
+            for f, (old, m) in step.items():
+                z[f] = z.get(f, 0.0) + g - ((m + g * g) ** 0.5 - m**0.5) / toxicity.ALPHA * old
+                n[f] = m + g * g
+    got = toxicity.scores([t.encode() for _, t in rows], w)
+    assert np.allclose(got, [said(t) for _, t in rows], atol=1e-9) and np.ptp(got) > 0.5
+
+
+def test_toxicity_sample(spark):
+    """Held-out, null and unlabelled ids teach nothing; repeated rows count once; null ids are not held out."""
+    rows = [(i, f"bad{i % 3} word" if i % 2 else "fine word") for i in range(60)] * 2 + [(None, "bad0"), (None, None), (1, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame([(i, i % 2) for i in range(50)] + [(None, 1), (7, None), (7, 0)], "doc_id long, toxic int")
+    got = toxicity.sample(docs, marks).collect()
+    assert {r.doc_id for r in got} == {i for i in range(50) if zlib.crc32(str(i).encode()) % 3 != 1} and len({r.doc_id for r in got}) == len(got)
+    assert all(r._label == r.doc_id % 2 for r in got)
+    full = toxicity.predict(spark, docs, marks).collect()
+    assert len(full) == len(rows) and all(r.held_out is False for r in full if r.doc_id is None)
+    held = {i: zlib.crc32(str(i).encode()) % 3 == 1 for i in range(50)}
+    flipped = spark.createDataFrame([(i, 1 - i % 2 if held[i] else i % 2) for i in range(50)], "doc_id long, toxic int")
+    kept = spark.createDataFrame([(i, i % 2) for i in range(50)], "doc_id long, toxic int")
+    assert (toxicity.fit(docs, flipped) == toxicity.fit(docs, kept)).all()
+
+
 def plain_spans(t):
     def luhn(d):
         return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
