@@ -46,9 +46,11 @@ def features(texts: list[bytes], heads: tuple[int, ...] = HEADS) -> tuple[np.nda
     words, starts = common.split_words(texts, WORDS)
     h, doc = common.word_hashes(words), common.doc_of(starts)
     docs, hashes = [doc], [common.mix(h + _C)]
+    _, firsts, which = np.unique(h, return_index=True, return_inverse=True)
+    distinct = [words[i] for i in firsts.tolist()]
     for size in heads:
         docs.append(doc)
-        hashes.append(common.mix(common.word_hashes([w[:size] for w in words]) + np.array([size], np.uint64) * _A))
+        hashes.append(common.mix(common.word_hashes([w[:size] for w in distinct]) + np.array([size], np.uint64) * _A)[which])
     for gap, factor in ((1, _A), (2, _B)):
         if len(h) > gap:
             same = doc[:-gap] == doc[gap:]
