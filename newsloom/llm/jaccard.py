@@ -1,14 +1,16 @@
 """Jaccard join on word n-grams by parity sketches.
 
-A document's set holds the hashes of its distinct n-grams. XOR-ing each of them into one bit gives a parity
-sketch, and the Hamming distance of two sketches is at most the symmetric difference of the sets. Sets
-of sizes a and b that reach the similarity J differ in at most D = (a + b)(1 - J) / (1 + J) members.
+A document's set holds the hashes of its distinct n-grams. Each falls into a block by its hash, and XOR-ing the hashes of
+a block gives 64 parities, its sketch: a member that only one of two sets has changes one block, so they differ in at most
+as many blocks as members. Sets of sizes a and b that reach the similarity J differ in at most D = (a + b)(1 - J) / (1 + J)
+members. Blocks of differing contents hardly ever have equal sketches (with a sketch of one bit of 128 for each n-gram they
+did, and pairs that met by chance grew with the square of the input).
 
 Pigeonhole: in a size band whose largest set is M the sketch has D(M) + 1 + E blocks, so two linked sets
-agree in at least 1 + E blocks. Few n-grams fall into a block, so a block by itself is often shared by chance; therefore
+agree in at least 1 + E blocks. Few n-grams fall into a block, so a block by itself is often shared by unlinked texts; therefore
 documents are joined on twos of blocks. The blocks of a band are dealt to C classes by their hashes, and of C + 1 blocks in which
 two sets agree two are of one class. So each document may leave out E - C blocks, if it does so by an order common to all. The
-order is: blocks of few bits ("light"; as long as E - C are enough for them, they are not even sent), then the blocks that most
+order is: blocks of few n-grams ("light"; as long as E - C are enough for them, they are not even sent), then the blocks that most
 documents send. Blocks that a single document sends are dropped before, and whoever has no C + 1 blocks then is linked with
 nobody. E and C are shares of D, so a document has some multiple of D twos. It takes part in its own band and, if it
 can link with a member of it, in the next one; only buckets that are in some document's own band count.
@@ -46,8 +48,6 @@ from pyspark.sql import functions as F
 
 from . import common, graph
 
-#: Bits of one block, in two 64-bit words.
-BLOCK_BITS = 128
 #: Each band ends half as large again as it begins.
 BAND_RATIO = 1.5
 #: Buckets up to this size give pairs, larger ones stars.
@@ -129,13 +129,9 @@ def ngrams(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
     return hashes[fresh], np.concatenate([np.zeros(1, np.int64), np.cumsum(fresh)])[at]
 
 
-def _popcount(x: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(x).astype(np.int64)
-
-
-def _key(block: np.ndarray, t: np.ndarray, low: np.ndarray, high: np.ndarray, light: np.ndarray) -> np.ndarray:
+def _key(block: np.ndarray, t: np.ndarray, parities: np.ndarray, light: np.ndarray) -> np.ndarray:
     """Bit 0 tells the two bands of a text apart, bit 1 is set for light blocks."""
-    whole = common.mix(common.mix(low + block.astype(_u) * _u(0x9E3779B97F4A7C15)) ^ common.mix(high + (t.astype(_u) << _u(40))))
+    whole = common.mix(common.mix(parities + block.astype(_u) * _u(0x9E3779B97F4A7C15)) ^ common.mix(t.astype(_u) << _u(40)))
     return whole & ~_u(3) | (t & 1).astype(_u) | light.astype(_u) << _u(1)
 
 
@@ -161,30 +157,26 @@ def block_keys(hashes: np.ndarray, starts: np.ndarray, rule: Rule) -> tuple[np.n
         at = np.repeat(starts[chosen] - (np.cumsum(width) - width), width) + np.arange(int(width.sum()))
         h = hashes[at]
         block = ((h >> _u(32)) * total[row].astype(_u)) >> _u(32)  # ascending with the hash
-        bit = common.mix(h) & _u(BLOCK_BITS - 1)
-        one = _u(1) << (bit & _u(63))
         fresh = np.ones(len(h), bool)
         fresh[1:] = (row[1:] != row[:-1]) | (block[1:] != block[:-1])
         heads = np.flatnonzero(fresh)
-        low = np.bitwise_xor.reduceat(np.where(bit < 64, one, _u(0)), heads)
-        high = np.bitwise_xor.reduceat(np.where(bit < 64, _u(0), one), heads)
+        parities = np.bitwise_xor.reduceat(common.mix(h), heads)
         owner, number = row[heads], block[heads]
-        heavy = _popcount(low) + _popcount(high) > rule.light
+        heavy = np.diff(heads, append=len(h)) > rule.light
         light = total - np.bincount(owner[heavy], minlength=len(chosen))
         spare = spare - np.array([shapes[x][2] for x in t[chosen]], np.int64)
         sends_all = light > spare
         spare = np.where(sends_all, spare, spare - light)
         sent = heavy | sends_all[owner]
         docs.append(chosen[owner[sent]])
-        keys.append(_key(number[sent], t[chosen][owner[sent]], low[sent], high[sent], ~heavy[sent]))
+        keys.append(_key(number[sent], t[chosen][owner[sent]], parities[sent], ~heavy[sent]))
         left.append(spare[owner[sent]])
         home.append(np.full(len(docs[-1]), step == 0))
-        for i in np.flatnonzero(sends_all):  # its blocks without any bit
+        for i in np.flatnonzero(sends_all):  # its blocks without any n-gram
             have = number[owner == i]
             bare = np.setdiff1d(np.arange(total[i]), have.astype(np.int64))
-            zero = np.zeros(len(bare), np.uint64)
             docs.append(np.full(len(bare), chosen[i]))
-            keys.append(_key(bare, np.full(len(bare), t[chosen[i]]), zero, zero, np.ones(len(bare), bool)))
+            keys.append(_key(bare, np.full(len(bare), t[chosen[i]]), np.zeros(len(bare), np.uint64), np.ones(len(bare), bool)))
             left.append(np.full(len(bare), spare[i]))
             home.append(np.full(len(bare), step == 0))
     return np.concatenate(docs), np.concatenate(keys), np.concatenate(left), np.concatenate(home)

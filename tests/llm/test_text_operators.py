@@ -241,6 +241,16 @@ def test_sketch_blocks_of_linked_sets_meet():
             assert len(set(keys[doc == 0].tolist()) & set(keys[doc == 1].tolist())) > spare.min() + rule.classes(np.array([max(len(a), len(b))]))[0, 0]
 
 
+@pytest.mark.parametrize("rule", [jaccard.Rule(5, 80, 100), jaccard.Rule(3, 90, 100)])
+def test_sketch_blocks_of_texts_without_a_common_ngram_do_not_meet(rule):
+    """Chance meetings would grow with the square of the number of texts."""
+    size, texts = 300, 1000
+    hashes = np.sort(np.random.default_rng(4).integers(0, 2**64, (texts, size), np.uint64, endpoint=False), axis=1).ravel()
+    doc, keys, _, _ = jaccard.block_keys(hashes, np.arange(texts + 1) * size, rule)
+    heavy = keys[keys & np.uint64(2) == 0]
+    assert len(heavy) > 25 * texts and len(np.unique(heavy)) == len(heavy)
+
+
 def test_packing(docs, texts, nothing):
     path = public_tokenizers.path("byte_bpe_50k.json")
     rows, bins = packing.pack(docs, path, shard_pieces=40).collect(), collections.defaultdict(list)
