@@ -50,8 +50,8 @@ from . import common, graph
 
 #: Each band ends half as large again as it begins.
 BAND_RATIO = 1.5
-#: Buckets up to this size give pairs, larger ones stars.
-SMALL = 32
+#: Buckets up to this size give pairs, larger ones stars; the pairs of a family of near copies would grow with its square.
+SMALL = 2
 #: Members, and n-grams of them, that one task compares with a centre; a larger star is dealt to several tasks with a copy of the centre each.
 PART_ROWS, PART_GRAMS = 1000, 1 << 21
 

@@ -251,6 +251,23 @@ def test_sketch_blocks_of_texts_without_a_common_ngram_do_not_meet(rule):
     assert len(heavy) > 25 * texts and len(np.unique(heavy)) == len(heavy)
 
 
+def test_jaccard_compares_a_family_with_its_centres_only(spark, monkeypatch):
+    """Of a family of near copies not all pairs are compared."""
+    rng, base = random.Random(12), [f"b{i}" for i in range(300)]
+    rows = []
+    for i in range(30):
+        words = list(base)
+        for at in rng.sample(range(300), 2):
+            words[at] = f"v{i}.{at}"
+        rows.append((i, " ".join(words)))
+    plain, sent = jaccard._compared, []
+    monkeypatch.setattr(jaccard, "_compared", lambda stars, *more: sent.append(stars.count()) or plain(stars, *more))
+    whole = components({i: shingles(t, 3) for i, t in rows}, 90, 100)
+    got = by_id(jaccard.clusters(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90, 100))
+    assert {i: r.component_id for i, r in got.items()} == whole
+    assert sum(sent) < 30 * 29 / 4
+
+
 def test_packing(docs, texts, nothing):
     path = public_tokenizers.path("byte_bpe_50k.json")
     rows, bins = packing.pack(docs, path, shard_pieces=40).collect(), collections.defaultdict(list)
