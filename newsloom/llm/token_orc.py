@@ -34,7 +34,7 @@ def encoded(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end, before = tokens.encoder(path), np.asarray([end_id], "<u4").tobytes(), 0
         for batch in batches:
-            for start, texts in common.slices(batch):
+            for start, texts in common.slices(batch, limit=tokens.TOGETHER):
                 ids = [x + end for x in encoder.encode(texts)]
                 counts = np.array([len(x) // 4 for x in ids], np.int64)
                 offsets = np.concatenate([[0], np.cumsum(counts)])

@@ -1,28 +1,39 @@
 """Token ids of whole texts by the ``tokenizers`` library, with a memory of chunks.
 
 Both tokenizer files split a text at certain spaces before any merge happens, so a text's ids are the
-ids of its chunks in a row. Chunks repeat a lot; each worker remembers their ids. The ids of a text are
-returned as little-endian unsigned 32-bit integers.
+ids of its chunks in a row. Chunks repeat a lot; each worker remembers their ids. A new chunk that is a
+word with marks behind it takes the word's ids from there too. The ids of a text are returned as
+little-endian unsigned 32-bit integers.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from collections.abc import Callable
+from itertools import chain, pairwise
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from . import common
 
 #: Chunks that a worker remembers in each of two generations (about 150 bytes each).
 CHUNK_CACHE = 450_000
+#: Bytes of text whose chunks are looked up together, each different one once.
+TOGETHER = 6_000_000
 #: New chunks that are encoded in a row.
 ROW = 60
 #: Longer chunks are not remembered.
 CHUNK_BYTES = 48
-#: After letters these always begin a token of their own.
-ENDS = b".,;:!?"
+#: After letters these always begin a token of their own; a run of them stays whole up to the next white space.
+ENDS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Bytes that the byte-level vocabularies write as another character than Latin-1 does.
+SHIFTED = {b: chr(0x121 + b - 0x7F) for b in range(0x7F, 0xA1)} | {0xAD: "\u0143"}
 
+#: Letters that no normaliser changes but for their case, and that any Unicode version calls letters.
+_letters = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 _cut = re.compile(r"(?= \S)")
 _odd = re.compile(r" \s|\s $")
 _made: dict[str, Encoder] = {}
@@ -34,11 +45,14 @@ class Encoder:
 
     A chunk not seen before is encoded in a row with others where the ids themselves show the borders: each
     all-letter word ends in one end-of-word id, each chunk with one leading space begins with one such id.
+    Words of Latin letters are the same before and after the normaliser and are never split, so they go to the
+    vocabulary's merges directly.
     """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
@@ -47,6 +61,8 @@ class Encoder:
         if hasattr(model, "_resize_cache"):  # chunks come here once; the library's own memory is of no use
             model._resize_cache(0)
             self.tokenizer.model = model
+        self.merges = Tokenizer(model)
+        self.merges.pre_tokenizer = WhitespaceSplit()
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.border = np.zeros(max(vocabulary.values()) + 1, bool)
         for token, i in vocabulary.items():
@@ -54,10 +70,19 @@ class Encoder:
         self.known: dict = {}
         self.older: dict = {}
 
-    def _chunks(self, text: bytes) -> list[str] | list[bytes]:
+    def _split(self, texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+        """The chunks of all texts, and where each text's chunks begin (one more entry: the end)."""
         if not self.spaced:
             # The normaliser lowers case anyway; ASCII white space is never part of a token.
-            return text.lower().split()
+            lists = pc.ascii_split_whitespace(pc.ascii_lower(pa.array(texts, pa.large_binary()).view(pa.large_string())))
+            return lists.values, lists.offsets.to_numpy()
+        chunks, starts = [], [0]
+        for text in texts:
+            chunks += self._chunks(text)
+            starts.append(len(chunks))
+        return pa.array(chunks, pa.large_string()), np.array(starts)
+
+    def _chunks(self, text: bytes) -> list[str]:
         if not text:
             return []
         string = text.decode("utf-8", "replace")
@@ -66,36 +91,58 @@ class Encoder:
         head, *rest = string.split(" ")
         return ([head] if head else []) + [" " + x for x in rest]
 
+    def _direct(self, words: list[bytes]) -> str:
+        """A row of Latin words as the merges see it."""
+        row = b" ".join(words)
+        return row.decode() if row.isascii() else row.decode("latin-1").translate(SHIFTED)
+
+    def _rows(self, tokenizer, chunks: list, text: Callable[[list], str], out: dict) -> list:
+        """Encode ``chunks`` in rows, and return those whose borders the ids do not show."""
+        left = []
+        for at in range(0, len(chunks), 500 * ROW):
+            group = chunks[at : at + 500 * ROW]
+            texts = [text(group[i : i + ROW]) for i in range(0, len(group), ROW)]
+            found = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+            ids = np.fromiter(chain.from_iterable([x.ids for x in found]), "<u4")
+            marks, raw = np.flatnonzero(self.border[ids]), ids.tobytes()
+            if len(marks) == len(group) and (not self.spaced or marks[0] == 0):
+                cuts = [*(4 * marks).tolist(), len(raw)] if self.spaced else [0, *(4 * marks + 4).tolist()]
+                out.update((x, raw[i:j]) for x, (i, j) in zip(group, pairwise(cuts), strict=True))
+            else:
+                left += group
+        return left
+
     def _fresh(self, chunks: set) -> dict:
-        out, alone, row, tailed = {}, [], [], []
+        out, alone, row, direct, tailed = {}, [], [], [], []
         if self.spaced:
             for x in chunks:
                 (row if len(x) > 1 and x[0] == " " and x.count(" ") == 1 else alone).append(x)
+            alone += self._rows(self.tokenizer, row, "".join, out)
         else:
             parts = set()
             for x in chunks:
                 base = x.rstrip(ENDS)
-                if not base.decode("utf-8", "replace").lower().isalpha():  # a letter's lower case can hold a mark
-                    alone.append(x)
-                elif len(base) == len(x):
+                if len(base) == len(x) or not (base.isalpha() or _letters.fullmatch(base.decode("utf-8", "replace"))):
                     parts.add(x)
                 else:
                     tailed.append((x, base, x[len(base) :]))
-                    parts.add(base)
-            row = list(parts)
-            alone += {tail for _, _, tail in tailed} - set(alone)
-        parts = [row[at : at + ROW] for at in range(0, len(row), ROW)]
-        for at in range(0, len(parts), 500):
-            group = parts[at : at + 500]
-            texts = ["".join(x) if self.spaced else b" ".join(x).decode("utf-8", "replace") for x in group]
-            found = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            ids = np.asarray([i for x in found for i in x], "<u4")
-            marks, raw = np.flatnonzero(self.border[ids]), ids.tobytes()
-            if len(marks) == sum(map(len, group)) and (not self.spaced or not len(marks) or marks[0] == 0):
-                cuts = [*(4 * marks).tolist(), len(raw)] if self.spaced else [0, *(4 * marks + 4).tolist()]
-                out.update((x, raw[i:j]) for x, i, j in zip([x for part in group for x in part], cuts, cuts[1:], strict=False))
-            else:
-                alone += [x for part in group for x in part]
+            for x in {part for _, *both in tailed for part in both}.difference(chunks):
+                if (ids := self._remembered(x)) is None:
+                    parts.add(x)
+                else:
+                    out[x] = ids
+            for x in parts:
+                if x.isalpha():  # of bytes: ASCII letters only
+                    direct.append(x)
+                    continue
+                word = x.decode("utf-8", "replace")
+                if _letters.fullmatch(word) and word.islower():
+                    direct.append(x)
+                else:  # a letter's lower case can hold a mark
+                    (row if word.lower().isalpha() else alone).append(x)
+            direct.sort(key=bytes.isascii)
+            alone += self._rows(self.merges, direct, self._direct, out)
+            alone += self._rows(self.tokenizer, row, lambda part: b" ".join(part).decode("utf-8", "replace"), out)
         for at in range(0, len(alone), 5000):
             part = alone[at : at + 5000]
             strings = part if self.spaced else [x.decode("utf-8", "replace") for x in part]
@@ -104,6 +151,9 @@ class Encoder:
         out.update((x, out[base] + out[tail]) for x, base, tail in tailed)
         return out
 
+    def _remembered(self, chunk) -> bytes | None:
+        return self.known.get(chunk, self.older.get(chunk))
+
     def clear(self) -> None:
         self.known, self.older = {}, {}
 
@@ -111,16 +161,33 @@ class Encoder:
         common.settle(self)
         if len(self.known) > CHUNK_CACHE:
             self.known, self.older = {}, self.known
+        chunks, starts = self._split(texts)
+        coded = chunks.dictionary_encode()
+        different = coded.dictionary if self.spaced else coded.dictionary.view(pa.large_binary())
+        ids = pa.array(self._look_up(different.to_numpy(zero_copy_only=False).tolist()), pa.large_binary()).take(coded.indices)
+        _, ends, raw = ids.buffers()
+        if raw is None or not len(ids):
+            return [b""] * len(texts)
+        places = np.frombuffer(ends, np.int64)[starts].tolist()
+        raw = memoryview(raw)
+        return [bytes(raw[i:j]) for i, j in pairwise(places)]
+
+    def _look_up(self, chunks: list) -> list[bytes]:
+        """The ids of different chunks."""
         known, older = self.known, self.older
-        chunked = [self._chunks(x) for x in texts]
-        missing = set().union(*chunked).difference(known)
-        known.update((x, older[x]) for x in missing if x in older)
-        extra: dict = {}
-        for x, ids in self._fresh(missing.difference(older)).items():
-            (known if len(x) <= CHUNK_BYTES else extra)[x] = ids
-        if not extra:
-            return [b"".join(map(known.__getitem__, chunks)) for chunks in chunked]
-        return [b"".join([extra[x] if x in extra else known[x] for x in chunks]) for chunks in chunked]
+        found = list(map(known.get, chunks))
+        gaps = [i for i, ids in enumerate(found) if ids is None]
+        if gaps:
+            missing = {chunks[i] for i in gaps}
+            again = {x: older[x] for x in missing if x in older}
+            known.update(again)
+            extra = {}
+            for x, ids in self._fresh(missing.difference(again)).items():
+                (known if len(x) <= CHUNK_BYTES else extra)[x] = ids
+            for i in gaps:
+                x = chunks[i]
+                found[i] = extra[x] if x in extra else known[x]
+        return found
 
 
 def encoder(path: str) -> Encoder:

@@ -41,6 +41,46 @@ def test_chunked_encoding_is_exact(name, texts):
     assert encoder.encode([t.encode() for t in every]) == [np.array(e.ids, "<u4").tobytes() for e in plain]
 
 
+class Counting:
+    """A tokenizer that notes the texts it gets."""
+
+    def __init__(self, inner, seen):
+        self.inner, self.seen = inner, seen
+
+    def encode_batch_fast(self, texts, **options):
+        self.seen += texts
+        return self.inner.encode_batch_fast(texts, **options)
+
+
+def counted(name, *before):
+    encoder, seen = tokens.Encoder(public_tokenizers.path(name)), []
+    encoder.encode([t.encode() for t in before])
+    for part in ("tokenizer", "merges"):
+        if hasattr(encoder, part):
+            setattr(encoder, part, Counting(getattr(encoder, part), seen))
+    return encoder, seen
+
+
+def test_words_with_marks_are_not_encoded_again():
+    encoder, seen = counted("word_bpe_49k.json", "alpha straße ,")
+    got = encoder.encode(["Alpha, stra\u00dfe, alpha###".encode()])
+    assert got[0] + np.uint32(2).tobytes() == ids_of("word_bpe_49k.json", "Alpha, stra\u00dfe, alpha###").tobytes()
+    assert seen == ["###"]
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_encoding_of_letters_marks_and_white_space(name, texts):
+    rng, encoder = random.Random(3), tokens.Encoder(public_tokenizers.path(name))
+    some = [*"abzAZ09.,;:!?'#$%&*_-~<>|/\u00c0\u00d7\u00df\u00e9\u00f7\u00ff\u00b5\u00aa\u0130\u0131\u03a3\u03c3\u0301\u00ad\u00a0\u0085\u2009\u3000\u200b\u212a\u1e9e\u0416\u4e2d\U0001f600", "a\u0301", "e\u0300", "'s", "'ll", "\x1c", "\x0b"]
+    parts = [*some, *some, *" \n\t", *[" "] * 40, *["the", "Erble", "\u00dcber", "estra\u00dfe", ".\n", "\n", ".\n\n", " \n", "\r\n"] * 4]
+    every = ["".join(rng.choices(parts, k=rng.randint(0, 40))) for _ in range(4000)] + ["", " ", "  ", "\n", " a", "  a", "a ", "a  ", "a\n ", "\u00a0 a \u00a0b"]
+    plain = encoder.tokenizer.encode_batch(every, add_special_tokens=False)
+    for _ in range(2):
+        for text, got, e in zip(every, encoder.encode([t.encode() for t in every]), plain, strict=True):
+            assert got == np.array(e.ids, "<u4").tobytes(), repr(text)
+    assert encoder.encode([]) == [] and encoder.encode([b"", b""]) == [b"", b""]
+
+
 def test_orc_round_trip(spark, docs, texts, tmp_path):
     target = f"file://{tmp_path}/orc"
     token_orc.write(docs, target, public_tokenizers.path("word_bpe_49k.json"))
