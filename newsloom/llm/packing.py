@@ -42,7 +42,7 @@ def pieces(docs: DataFrame, path: str, size: int = SEQUENCE, end_id: int = END_I
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = tokens.encoder(path), np.asarray([end_id], "<u4").tobytes()
         for batch in batches:
-            for first, texts in common.slices(batch):
+            for first, texts in common.slices(batch, limit=tokens.TOGETHER):
                 rows, numbers, starts, lengths, crcs = [], [], [], [], []
                 for i, ids in enumerate(encoder.encode(texts), first):
                     ids += end

@@ -68,6 +68,13 @@ def test_words_with_marks_are_not_encoded_again():
     assert seen == ["###"]
 
 
+def test_words_at_line_ends_are_not_encoded_again():
+    encoder, seen = counted("byte_bpe_50k.json", "The alpha stra\u00dfe beta.\nThe")
+    text = "The alpha.\nThe stra\u00dfe!!\nThe beta alpha!!\n"
+    assert encoder.encode([text.encode()])[0] + np.uint32(2).tobytes() == ids_of("byte_bpe_50k.json", text).tobytes()
+    assert seen == ["!!"]
+
+
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_encoding_of_letters_marks_and_white_space(name, texts):
     rng, encoder = random.Random(3), tokens.Encoder(public_tokenizers.path(name))
