@@ -50,7 +50,7 @@ def signal_counts(docs: DataFrame, key: str = "doc_id", rest: dict | None = None
     """Per document: hits of the signal, of its gated word, of the words that open the gate, and of the other side."""
     parts = {"rest": rest or values.PROVINCIAL, "gated": gated or values.GATED, "context": context or values.CONTEXT, "other": other or values.FEDERAL}
     joined = {f"{part}/{name}": patterns for part, table in parts.items() for name, patterns in table.items()}
-    hits = counting.lookup(docs, joined, key).groupBy(key).agg(*(F.count_if(F.col("key").startswith(f"{p}/")).alias(p) for p in parts))
+    hits = counting.counts(docs, joined, key).groupBy(key).agg(*(F.sum(F.when(F.col("key").startswith(f"{p}/"), F.col("mentions")).otherwise(0)).alias(p) for p in parts))
     return docs.select(key).join(hits, key, "left").select(key, *(F.coalesce(p, F.lit(0)).alias(p) for p in parts))
 
 

@@ -19,7 +19,7 @@ def _counted(dictionary: dict[str, list[str]]) -> str:
 
 
 def _count(spark, sf_dir, dictionary):
-    counted = counting.lookup(articles(spark, sf_dir), dictionary).groupBy("key").agg(F.count("*").alias("mentions"), F.countDistinct("doc_id").alias("articles"))
+    counted = counting.counts(table(spark, sf_dir, "documents"), dictionary).groupBy("key").agg(F.sum("mentions").alias("mentions"), F.countDistinct("doc_id").alias("articles"))
     names = spark.createDataFrame([(k,) for k in dictionary], "key string")
     return names.join(counted, "key", "left").select("key", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("mentions", "articles")))
 
