@@ -7,6 +7,8 @@ that deal hits by key.
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -21,6 +23,80 @@ def token_rows(docs: DataFrame, key: str = "doc_id", stop: tuple[str, ...] | lis
     return docs.select(key, F.posexplode(text.tokens(F.col("text"), stop)).alias("pos", "tok"))
 
 
+#: Entries that a worker counts up before it hands them on.
+HELD = 300_000
+
+
+def term_counts(docs: DataFrame, key: str = "doc_id", stop: tuple[str, ...] | list[str] = ()) -> DataFrame:
+    """(key, term, tf): how often each document has each of its tokens."""
+    single, again = apart(docs, key)
+    ship(docs.sparkSession)
+    gone = frozenset(stop)
+
+    def count(batches):
+        for batch in batches:
+            rows, terms, tfs = [], [], []
+            for i, body in enumerate(batch.column(1).to_pylist()):
+                found = Counter(words.tokens(body))
+                for word in gone & found.keys():
+                    del found[word]
+                rows += [i] * len(found)
+                terms += found.keys()
+                tfs += found.values()
+                if len(terms) > HELD or i == batch.num_rows - 1:
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(terms, pa.string()), pa.array(tfs, pa.int64())], [key, "term", "tf"])
+                    rows, terms, tfs = [], [], []
+
+    kind = docs.schema[key].dataType.simpleString()
+    tf = single.select(key, "text").mapInArrow(count, f"`{key}` {kind}, term string, tf long")
+    return tf if again is None else tf.unionByName(token_rows(again, key, stop).groupBy(key, F.col("tok").alias("term")).agg(F.count("*").alias("tf")))
+
+
+def class_counts(docs: DataFrame, group: str | None, stop: tuple[str, ...] | list[str] = (), key: str = "doc_id") -> DataFrame:
+    """(class, term, tf, df): of each value of ``group`` (none: null) and each token its number and that of its documents.
+
+    Workers count their own texts up, so few rows move.
+    """
+    label = F.col(group) if group else F.lit(None).cast("string")
+    single, again = apart(docs, key)
+    ship(docs.sparkSession)
+    gone = frozenset(stop)
+
+    def handed(held):
+        columns = [[], [], [], []]
+        for name, (tf, df) in held.items():
+            columns[0] += [name] * len(tf)
+            columns[1] += tf.keys()
+            columns[2] += tf.values()
+            columns[3] += [df[word] for word in tf]
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["class", "term", "tf", "df"])
+
+    def count(batches):
+        held: dict = {}
+        for batch in batches:
+            for name, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                tf, df = held.setdefault(name, (Counter(), Counter()))
+                found = words.tokens(body)
+                if gone:
+                    found = [x for x in found if x not in gone]
+                tf.update(found)
+                df.update(set(found))
+                if len(tf) > HELD:
+                    yield handed(held)
+        if held:
+            yield handed(held)
+
+    kind = "class string, term string, tf long, df long"
+    parts = single.select(label.cast("string").alias("class"), "text").mapInArrow(count, kind)
+    if again is not None:
+        rows = again.select(F.col(key).alias("_key"), label.cast("string").alias("class"), F.explode(text.tokens(F.col("text"), stop)).alias("term"))
+        # A document of several rows counts once, in one of its classes.
+        once = rows.groupBy("_key", "class", "term").agg(F.count("*").alias("tf")).withColumn("nth", F.row_number().over(Window.partitionBy("_key", "term").orderBy("class")))
+        parts = parts.unionByName(once.select("class", "term", "tf", F.when((F.col("nth") == 1) & F.col("_key").isNotNull(), 1).otherwise(0).cast("long").alias("df")))
+    return parts.groupBy("class", "term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
+
+
 def _pattern_words(dictionary: dict[str, list[str]]) -> list[tuple]:
     """(key, pattern, place, length, word, is a beginning)."""
     out = []

@@ -34,3 +34,14 @@ def test_lookup_is_that_of_dealt_hits(spark, dictionary, stop, nested):
 def test_no_token_is_a_row(spark):
     plan = counting.counts(table(spark), catalog.WORDS)._jdf.queryExecution().toString()
     assert "MapInArrow" in plan and "Generate" not in plan
+
+
+def test_class_counts_are_those_of_token_rows(spark):
+    docs = table(spark, [None, None, 1, 1, *range(20)]).withColumn("class", F.when(F.col("text") != "of the", F.substring("text", 1, 1)))
+    toks = docs.select("doc_id", "class", F.explode(text.tokens(F.col("text"))).alias("term"))
+    got = counting.class_counts(docs, "class")
+    as_rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    assert as_rows(got.select("class", "term", "tf")) == as_rows(toks.groupBy("class", "term").agg(F.count("*").alias("tf")))
+    assert as_rows(got.groupBy("term").agg(F.sum("df"))) == as_rows(toks.groupBy("term").agg(F.countDistinct("doc_id")))
+    plan = got._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan  # texts without a repeated id are counted where they are read
