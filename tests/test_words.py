@@ -1,8 +1,9 @@
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from newsloom.functions import text, values, words
-from newsloom.operators import counting
+from newsloom.operators import counting, dedup
 from newsloom.plans import catalog
 
 TEXTS = ["Über de la der the of the end", "of the", "OF THE", "", None, "...", "a.B of́ the x", "thinking THIN thi of-the-thing", "the_la the 12 ½ Ⅷ de la", "éa " * 50 + "of the", "buy the canadian", "ontario liberals, liberals"]
@@ -45,3 +46,13 @@ def test_class_counts_are_those_of_token_rows(spark):
     assert as_rows(got.groupBy("term").agg(F.sum("df"))) == as_rows(toks.groupBy("term").agg(F.countDistinct("doc_id")))
     plan = got._jdf.queryExecution().toString()
     assert "MapInArrow" in plan  # texts without a repeated id are counted where they are read
+
+
+@pytest.mark.parametrize("common", [0, 3, 1000])
+def test_top_terms_are_those_of_all_weights(spark, monkeypatch, common):
+    monkeypatch.setattr(dedup, "COMMON", common)
+    docs = table(spark, [None, None, 1, 1, *range(20)])
+    order = Window.partitionBy("doc_id").orderBy(F.desc(F.round("weight", 6)), "term")
+    plain = dedup.term_weights(docs).withColumn("nth", F.row_number().over(order)).where("nth <= 3").select("doc_id", "nth", "term", F.round("weight", 6))
+    as_rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    assert as_rows(dedup.top_terms(docs, 3)) == as_rows(plain)
